@@ -39,7 +39,7 @@ ORDER = 4
 #: n-grams of the model at most; 16 bytes each where it is used.
 MAX_ENTRIES = 1_500_000
 #: Half the width of a band in robust deviations, and in nats at least.
-WIDTH, FLOOR = 6.0, 0.35
+WIDTH, FLOOR = 5.0, 0.1
 #: Words remembered by one task.
 MEMO = 400_000
 _SYMBOLS = b"#*$%&|<>"
