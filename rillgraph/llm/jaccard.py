@@ -5,23 +5,28 @@ when 100 * |A & B| >= percent * |A | B|. The result is exact: every link counts,
 and a document's component is the smallest id reachable over links.
 
 Set relations spare most of the work. (1) Equal sets are one class from the
-start. (2) Answers of similar sets: sets that share a min-hash are compared with
-the class's first set, and those that link form one component, whose members
-need no further comparison with each other. (3) What remains are links between
-different components. They are found with an inverted index over prefixes: the
-n - ceil(percent * n) + 1 first elements of a set in a global order that puts
-frequent elements last. Lists of one component alone are skipped whole; in the
-others, list positions and set sizes skip entries that can't reach the required
-overlap. Candidates are verified on the whole sets.
+start. (2) Answers within a family: sets that share a min-hash form a family
+with a reference set R, what most of a few members hold. Each member is kept as its
+difference from R, and answers follow from differences alone: |A ^ B| = |A'| + |B'| -
+2 |A' & B'|. With w = (100 + percent) |A'| - (100 - percent) |A|, a pair links for
+certain when w(A) + w(B) <= 0, and then both link to the member of least w: a star
+stands for all such pairs. Every other linked pair shares at least
+(w(A) + w(B)) / (2 (100 + percent)) elements of its differences and meets in an index
+over their rarest elements. (3) Links between families come from an inverted index
+over prefixes: the n - ceil(percent * n) + 1 first elements of a set in a global
+order that puts frequent elements last. Lists of one family alone are skipped
+whole; in the others, positions and sizes skip entries that can't reach the
+required overlap, bucket counts rule out most of what remains, and the rest is verified on
+the whole texts.
 
 Defined results. Null or empty texts, and texts of white space, have an empty set, link with
 nothing and are their own component. Fewer than four words make one element.
 Rows that repeat an id are one node. A null id links with nothing and has a
 null component. Other columns are not looked at.
 
-Scale: no pair inside a class or component is ever listed; heavy elements stay
+Scale: no pairs inside a class or of near copies of one text are listed; heavy elements stay
 out of prefixes, so lists are short unless a set has hardly anything else.
-Broadcast: the heavy elements, at most MAX_HEAVY, and ids up to a checked count.
+Large families are dealt in slots. Broadcast: the heavy elements, at most MAX_HEAVY, and tables up to a checked count.
 """
 
 from __future__ import annotations
@@ -33,14 +38,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, binaries, by_ids, space_words, written
+from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, space_words, written
 from .components import components
 
 #: An element in more prefixes than HEAVY goes last; the bound rises so that at most MAX_HEAVY elements can exceed it.
 HEAVY, MAX_HEAVY = 64, 400_000
-#: Min-hashes by which similar sets meet.
-MEETINGS = 3
+#: Min-hashes by which similar sets meet; members that a reference is made from; members dealt together.
+MEETINGS, SAMPLE, SLOT = 4, 32, 512
+#: Members that have less than this percentage of Jaccard with the reference leave their family.
+KIN = 30
+#: Buckets whose counts bound two sets' difference from below.
+BUCKETS = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,18 +108,20 @@ def _sketch(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, keys, heads, meet = [], [], [], []
+            n, keys, heads, meet, hist = [], [], [], [], []
             for text in binaries(batch, "text"):
                 s = shingle_set(text, size, hashes)
                 n.append(len(s))
                 if not len(s):
-                    keys.append(None), heads.append(None), meet.append(None)
+                    for column in (keys, heads, meet, hist):
+                        column.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 heads.append(s[: reach_of(len(s), percent)].view(np.int64))
                 meet.append(np.array([mixed(s ^ salt).min() for salt in salts]).view(np.int64))
+                hist.append(np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(meet, longs)], names=["id", "n", "key", "head", "meet"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(meet, longs), pa.array(hist, pa.binary())], names=["id", "n", "key", "head", "meet", "hist"])
 
     return run
 
@@ -160,33 +172,148 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _references(size: int):
+    """Rows come by family; what more than half of a family's rows hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        family, sets = None, []
+
+        def made() -> pa.RecordBatch:
+            kept, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([family], pa.int64()), pa.array([kept[2 * n > len(sets)].view(np.int64)], pa.list_(pa.int64()))], names=["f", "ref"])
+
+        for batch in batches:
+            for f, text in zip(batch.column(0).to_pylist(), binaries(batch, "text"), strict=True):
+                if f != family:
+                    if sets:
+                        yield made()
+                    family, sets = f, []
+                sets.append(shingle_set(text, size, hashes))
+        if sets:
+            yield made()
+
+    return run
+
+
+def _differences(size: int):
+    """Rows come by family, the reference first; each member's difference from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        ref = np.empty(0, np.uint64)
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for f, id_, text, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch, "text"), batch.column(3), strict=True):
+                if given.is_valid:
+                    ref = given.values.to_numpy().view(np.uint64)
+                    continue
+                s = shingle_set(text, size, hashes)
+                diff = np.setxor1d(s, ref, assume_unique=True)
+                total = len(s) + len(ref)
+                kin = 100 * (total - len(diff)) >= KIN * (total + len(diff))
+                for column, value in zip(out, (f, id_, len(s), diff.view(np.int64) if kin else None), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], longs)], names=["f", "id", "n", "diff"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Pairs whose bucket counts leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (4, 5))
+            least = np.abs(x - y).sum(axis=1)
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield batch.filter(pa.array((100 - percent) * total >= (100 + percent) * least)).select(["a", "b"])
+
+    return run
+
+
+def _attached(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (with a column id) and their texts; up to BROADCAST_IDS rows go to the texts."""
+    rows = rows.withColumnRenamed("id", "id_r")
+    small = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(rows) if small else rows, F.col("id") == F.col("id_r")).drop("id_r")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole texts."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = by_ids(docs, ids, "left_semi", "id")
     side = lambda c: texts.select(F.col("id").alias(f"id_{c}"), F.col("text").alias(f"text_{c}"))
     rows = pairs.join(side("b"), F.col("b") == F.col("id_b")).join(side("a"), F.col("a") == F.col("id_a")).select("a", "b", "text_a", "text_b")
-    return written(arrow_map(rows, _verify(size, percent), "a long, b long"))
+    return arrow_map(rows, _verify(size, percent), "a long, b long")
+
+
+def _families(docs: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """(f, id, n, diff) for members of families; diff is null for one that isn't kin."""
+    met = first.select("id", F.posexplode("meet").alias("k", "h"))
+    hubs = met.groupBy("k", "h").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "hub")
+    mine = written(met.join(hubs, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2"))).groupBy("id").agg(F.min("hub").alias("hub")))
+    member = mine.join(mine.select(F.col("id").alias("i"), F.col("hub").alias("f")), F.col("hub") == F.col("i")).select("id", "f")
+    sizes = member.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("f", "g")
+    member = written(member.join(sizes, F.col("f") == F.col("g")).select("id", "f", F.ceil(F.col("m") / SLOT).cast("int").alias("slots")))
+    few = member.withColumn("nth", F.row_number().over(Window.partitionBy("f").orderBy("id"))).where(F.col("nth") <= SAMPLE)
+    sample = _attached(docs, written(few.select("id", "f"))).select("f", "id", "text").repartition("f").sortWithinPartitions("f", "id").select("f", "text")
+    refs = written(arrow_map(sample, _references(size), "f long, ref array<long>"))
+    slots = member.select(F.col("f").alias("g"), "slots").distinct()
+    given = refs.join(slots, F.col("f") == F.col("g")).select("f", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "ref")
+    texts = _attached(docs, member).select("f", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot"), "id", "text", F.lit(None).cast("array<long>").alias("ref"))
+    rows = given.union(texts).repartition("f", "slot").sortWithinPartitions("f", "slot", F.col("ref").isNull()).select("f", "id", "text", "ref")
+    return written(arrow_map(rows, _differences(size), "f long, id long, n long, diff array<long>"))
+
+
+def _family_links(kin: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside families: a star over certain ones, the others from the index over differences."""
+    plus, less = 100 + percent, 100 - percent
+    kin = kin.select("f", "id", "n", F.size("diff").cast("long").alias("d"), "diff").withColumn("w", F.col("d") * plus - F.col("n") * less)
+    centre = kin.groupBy("f").agg(F.min(F.struct("w", "id")).alias("c")).select(F.col("f").alias("g"), F.col("c.w").alias("w0"), F.col("c.id").alias("c"))
+    kin = written(kin.join(centre, F.col("f") == F.col("g")).drop("g"))
+    star = kin.where((F.col("w") + F.col("w0") <= 0) & (F.col("id") != F.col("c"))).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b"))
+    out = F.col("w") + F.col("w0") > 0
+    share = F.ceil((F.col("w") + F.when(out, F.col("w0")).otherwise(1 - F.col("w0"))) / F.lit(float(2 * plus)))
+    rows = kin.select("f", "id", "n", "d", "w", out.alias("out"), F.greatest(share, F.lit(1)).alias("o"), F.explode("diff").alias("t"))
+    counts = rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("m"), F.max("out").alias("any_out")).select(F.col("f").alias("g"), F.col("t").alias("t2"), "m", "any_out")
+    ranked = rows.join(counts, (F.col("f") == F.col("g")) & (F.col("t") == F.col("t2"))).withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("m", "t")) - 1)
+    kept = written(ranked.where((F.col("m") > 1) & F.col("any_out") & (F.col("p") <= F.col("d") - F.col("o"))).select("f", "t", "id", "n", "d", "w", "out", "p"))
+    other = kept.select(*[F.col(c).alias(c + "2") for c in kept.columns])
+    need = F.ceil((F.col("w") + F.col("w2")) / F.lit(float(2 * plus)))
+    pairs = (
+        kept.where("out")
+        .join(other, (F.col("t") == F.col("t2")) & (F.col("f") == F.col("f2")))
+        .where((F.col("id") != F.col("id2")) & (~F.col("out2") | (F.col("id") < F.col("id2"))))
+        .where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least(F.col("d") - F.col("p"), F.col("d2") - F.col("p2")) >= need))
+        .select("id", "id2")
+        .distinct()
+    )
+    side = kin.select(F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("diff").alias("x"))
+    side2 = kin.select(F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("diff").alias("y"))
+    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    checked = pairs.join(side, F.col("id") == F.col("i1")).join(side2, F.col("id2") == F.col("i2")).where((F.col("n1") + F.col("n2")) * less >= apart * plus)
+    return star.union(checked.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
 
 
 def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(arrow_map(docs, _sketch(size, percent), "id long, n long, key binary, head array<long>, meet array<long>"))
+    sketch = written(arrow_map(docs, _sketch(size, percent), "id long, n long, key binary, head array<long>, meet array<long>, hist binary"))
     own = sketch.where("key IS NOT NULL AND id IS NOT NULL")
 
     # Equal sets: the smallest id stands for its class.
     classes = own.groupBy("key").agg(F.min("id").alias("rep"))
-    first = own.join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep"))).select("id", "n", "key", "head", "meet").dropDuplicates(["id", "key"])
-    first = written(first.drop("key"))
+    gone = own.join(classes.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).where("id <> rep").select(F.col("id").alias("i"), F.col("key").alias("k"))
+    first = own.join(gone, (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
 
-    # Similar sets meet at a min-hash; all compare with the first there.
-    met = first.select("id", F.posexplode("meet").alias("k", "h"))
-    hubs = met.groupBy("k", "h").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "hub")
-    near = written(met.join(hubs, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2"))).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = _linked(docs, near, size, percent)
-    known = written(components(links))
+    # Families.
+    kin = _families(docs, first, size)
+    within = _family_links(kin.where("diff IS NOT NULL"), percent)
 
     # Heavy elements go last.
     total = first.agg(F.sum(F.size("head"))).first()[0] or 0
@@ -196,24 +323,27 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     cut = written(arrow_map(first.select("id", "n", "head"), _prefixes(heavy, percent), "id long, n long, tokens array<long>, deep boolean"))
     deep = written(cut.where("deep").select("id").distinct())
     again = arrow_map(arrow_map(by_ids(docs, deep, "left_semi", "id"), _whole_heads(size), "id long, n long, head array<long>"), _prefixes(heavy, percent), cut.schema)
-    entries = cut.where("NOT deep").union(again).join(known.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
-    entries = written(entries.select("id", "n", F.coalesce("component", "id").alias("c"), "tokens")).select("id", "n", "c", F.posexplode("tokens").alias("p", "t"))
+    label = kin.where("diff IS NOT NULL").select(F.col("id").alias("i"), "f")
+    entries = cut.where("NOT deep").union(again).join(label, F.col("id") == F.col("i"), "left")
+    entries = written(entries.select("id", "n", "f", "tokens")).select("id", "n", F.coalesce("f", -1 - F.col("id")).alias("f"), F.posexplode("tokens").alias("p", "t"))
 
-    # Lists that hold different components, and in them what can still overlap enough.
-    live = written(entries.groupBy("t").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(F.col("t").alias("live")))
+    # Lists that hold different families, and in them what can still overlap enough.
+    live = written(entries.groupBy("t").agg(F.min("f").alias("f1"), F.max("f").alias("f2")).where("f1 <> f2").select(F.col("t").alias("live")))
     kept = written(entries.join(live, F.col("t") == F.col("live"), "left_semi"))
-    x, y = kept.alias("x"), kept.select(*[F.col(c).alias(c + "2") for c in ("id", "n", "c", "p", "t")]).where(f"p2 <= n2 - ceil({2 * percent} * n2 / {100 + percent})")
+    y = kept.select(*[F.col(c).alias(c + "2") for c in ("id", "n", "f", "p", "t")]).where(f"p2 <= n2 - ceil({2 * percent} * n2 / {100 + percent})")
     need = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent))
     pairs = (
-        x.join(y, F.col("t") == F.col("t2"))
-        .where((F.col("c") != F.col("c2")) & ((F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") != F.col("id2")))))
+        kept.join(y, F.col("t") == F.col("t2"))
+        .where((F.col("f") != F.col("f2")) & ((F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") != F.col("id2")))))
         .where(F.col("n2") * 100 >= F.col("n") * percent)
         .where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need)
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         .distinct()
     )
-    more = _linked(docs, written(pairs), size, percent)
-    found = components(links.union(more))
+    counts_of = lambda c: first.select(F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
+    pairs = pairs.join(counts_of("a"), F.col("a") == F.col("id_a")).join(counts_of("b"), F.col("b") == F.col("id_b")).select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
+    across = _linked(docs, written(arrow_map(pairs, _possible(percent), "a long, b long").distinct()), size, percent)
+    found = components(within.union(across))
     members = classes.withColumnRenamed("key", "k").join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").select("k", F.coalesce("component", "rep").alias("component_id"))
     return sketch.join(members, (F.col("key") == F.col("k")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
