@@ -239,9 +239,9 @@ def condition_flips(spark, d):
 
 def _cutoff(name: str, tolerance: float | None, sql: str):
     """Over values in steps of 100, so that repeats and small moves occur."""
-    stepped = F.round(F.col("value") / 100) * 100
 
     def run(spark, d):
+        stepped = F.round(F.col("value") / 100) * 100
         e = events(spark, d).select(*KEY, *ORDER, stepped.alias("x"), F.lit(True).alias("evaluated"))
         return changes.calc_changes(e, "x", "evaluated", KEY, ORDER, name, tolerance).select("event_id", "changed")
 
@@ -424,16 +424,16 @@ _BOND = {"graph": {"name": "bond", "templates": [
     "WITH v AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_shipdate, " + ", ".join(f"last_value(CASE WHEN l_linestatus = '{s}' THEN {c} END IGNORE NULLS) OVER w AS {s}{n}" for s in "FO" for c, n in (("l_extendedprice", "b"), ("l_quantity", "q")))
     + f" FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {', '.join(_L_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
     "m AS (SELECT *, ((Fb * Fq + Ob * Oq) / (Fq + Oq) + (Fb + Ob) / 2) / 2 AS mid FROM v) "
-    f"SELECT {_L_KEYS}, round(mid, 6) AS mid, CASE WHEN mid IS NOT NULL THEN round(coalesce(mid - lag(mid) OVER (PARTITION BY l_suppkey, mid IS NULL ORDER BY {', '.join(_L_ORDER)}), 0), 6) END AS move FROM m"
+    f"SELECT {_L_KEYS}, round(mid + 1e-8, 6) AS mid, CASE WHEN mid IS NOT NULL THEN round(coalesce(mid - lag(mid) OVER (PARTITION BY l_suppkey, mid IS NULL ORDER BY {', '.join(_L_ORDER)}), 0) + 1e-8, 6) END AS move FROM m"
 )
 def bond_graph(spark, d):
-    """Nested templates; a supplier is an instance, and instances are keys of rows."""
+    """Nested templates; a supplier is an instance, and instances are keys of rows. Nudged, as halves of cents make ties."""
     graph = template_spec(_BOND, "bond", key="B")
     rows = lineitem(spark, d, "l_linestatus")
     sources = [F.when(F.col("l_linestatus") == s, F.col(c)).alias(f"B.{s}.{n}") for s in "FO" for c, n in (("l_extendedprice", "bid"), ("l_quantity", "qty"))]
     plan = compile_graph(graph, ["B.mid", "B.move"], "every_row")
     made = plan.run(rows.select(*_L_KEYS.split(", "), *sources), key=["l_suppkey"], ts="l_shipdate", order=[c for c in _L_ORDER if c != "l_suppkey"])
-    show = lambda n: F.round(F.when(~F.isnan(quoted(n)), F.col(quoted(n))), 6)
+    show = lambda n: F.round(F.when(~F.isnan(quoted(n)), F.col(quoted(n))) + 1e-8, 6)
     return made.select(*_L_KEYS.split(", "), show("B.mid").alias("mid"), show("B.move").alias("move"))
 
 
