@@ -46,7 +46,7 @@ def document(graph: GraphSpec) -> dict:
         "graph": {
             "name": graph.name,
             "version": graph.version,
-            "nodes": [{"name": n.name, "type": n.type, "inputs": n.inputs, "properties": n.properties} | ({"description": n.description} if n.description else {}) for n in graph.nodes],
+            "nodes": [{"name": n.name, "type": n.type, "inputs": n.inputs, "properties": {k: v for k, v in n.properties.items() if not k.startswith("auto_expand")}} | ({"description": n.description} if n.description else {}) for n in graph.nodes],
         }
     }
 

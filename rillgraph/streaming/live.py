@@ -37,8 +37,8 @@ class GraphProcessor(StatefulProcessor):
             restore(fresh, engine)
         timers = {n.name for n in self.plan.graph.sources() if n.type == "TIMER"}
         out: dict[str, list] = {n: [] for n in self.plan.outputs}
-        names = [f"__s{i}" for i in range(len(self.sources))]
-        for now, *values in batch[["__now", *names]].itertuples(index=False, name=None):
+        names = [f"rg_s{i}" for i in range(len(self.sources))]
+        for now, *values in batch[["rg_now", *names]].itertuples(index=False, name=None):
             for name, x in zip(self.sources, values, strict=True):
                 if x is None:
                     continue
@@ -74,6 +74,8 @@ def restore(engine: Engine, state: dict[str, Any]) -> None:
         cell.value, cell.evaluations = value, evaluations
         if pending is not None:
             cell.pending = pending
+        if hasattr(cell, "prev") and evaluations:
+            cell.prev = value
         if side is not None:
             cell.side = side
         if kernel is not None:
@@ -90,9 +92,9 @@ def stream(plan: CompiledPlan, events: DataFrame, *, key: Sequence[str], ts: str
     timers = {n.name for n in plan.graph.sources() if n.type == "TIMER"}
     vectors = {n.name for n in plan.graph.sources() if n.type == "VECTOR_SOURCE"}
     cast = lambda c: "boolean" if c in timers else "array<double>" if c in vectors else "double"
-    rows = events.select(*key, *order, (F.unix_micros(ts) / 1000.0).alias("__now"), *[F.when(F.col(quoted(c)).isNotNull(), F.col(quoted(c)).cast(cast(c))).alias(f"__s{i}") for i, c in enumerate(sources)])
+    rows = events.select(*key, *order, (F.unix_micros(ts) / 1000.0).alias("rg_now"), *[F.when(F.col(quoted(c)).isNotNull(), F.col(quoted(c)).cast(cast(c))).alias(f"rg_s{i}") for i, c in enumerate(sources)])
     # pandas can't tell a missing double from NaN; arrays of none or one can
-    rows = rows.select(*key, *order, "__now", *[F.col(f"__s{i}") if c in vectors or c in timers else F.when(F.col(f"__s{i}").isNotNull(), F.array(f"__s{i}")).alias(f"__s{i}") for i, c in enumerate(sources)])
+    rows = rows.select(*key, *order, "rg_now", *[F.col(f"rg_s{i}") if c in vectors or c in timers else F.when(F.col(f"rg_s{i}").isNotNull(), F.array(f"rg_s{i}")).alias(f"rg_s{i}") for i, c in enumerate(sources)])
     fields = [rows.schema[c] for c in [*key, *order]]
     shape = lambda n: plan.graph.registry.kind(plan.graph.node(n).type).shape
     kind = lambda n: T.BooleanType() if shape(n) == "boolean" else T.ArrayType(T.DoubleType()) if shape(n) in ("vector", "copy", "vector_math") else T.DoubleType()
@@ -100,7 +102,10 @@ def stream(plan: CompiledPlan, events: DataFrame, *, key: Sequence[str], ts: str
     scalars = [c not in vectors and c not in timers for c in sources]
     processor = _Unwrapping(plan, key, ts, order, sources)
     processor.scalars = scalars
-    return rows.groupBy(*key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    made = rows.groupBy(*key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    # pandas gave NaN away as null; a node's value is never null
+    plain = {n: F.coalesce(F.col(quoted(n)), F.lit(float("nan"))) for n in plan.outputs if isinstance(kind(n), T.DoubleType)}
+    return made.withColumns(plain) if plain else made
 
 
 class _Unwrapping(GraphProcessor):
@@ -114,7 +119,7 @@ class _Unwrapping(GraphProcessor):
                 f = f.copy()
                 for i, scalar in enumerate(self.scalars):
                     if scalar:
-                        f[f"__s{i}"] = pd.Series([None if x is None else float(x[0]) for x in f[f"__s{i}"]], index=f.index, dtype=object)
+                        f[f"rg_s{i}"] = pd.Series([None if x is None else float(x[0]) for x in f[f"rg_s{i}"]], index=f.index, dtype=object)
                 yield f
 
         yield from super().handleInputRows(key, plain(rows), timerValues)
