@@ -25,7 +25,7 @@ columns are not looked at.
 Scale: equal texts are judged once. Shuffled: a name for every 35 bytes or so,
 the texts once, and the surroundings of repeated names. A bucket of more than
 ``hot`` suffix runs isn't gathered: each of its suffixes is dealt by its own
-name, after equal ones of a batch are reduced to the first.
+name, after equal ones of a task are reduced to the first.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_IDS, arrow_map, binaries, text_bytes, written
 
@@ -44,6 +45,8 @@ from .common import BROADCAST_IDS, arrow_map, binaries, text_bytes, written
 COVER_GRAM = 32
 #: Suffix runs that one bucket gathers at most.
 HOT = 512
+#: Names of hot suffixes that a task remembers.
+SEEN = 200_000
 #: Bytes of runs sorted in one go.
 CHUNK_BYTES = 2 << 20
 _BASE = 0xD1342543DE82EF95
@@ -131,6 +134,7 @@ def _runs(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
+        seen: dict[int, tuple[int, int, int]] = {}  # documents come in order, so what was seen is earlier
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cols: list[list] = [[], [], [], [], [], []]
@@ -157,15 +161,20 @@ def _runs(length: int, gram: int):
                 order = np.lexsort((places, hs[rows], ids[rows], name))
                 rows, places, name = rows[order], places[order], name[order]
                 first = np.concatenate([[True], name[1:] != name[:-1]])
-                cols[0] += name[first].view(np.int64).tolist()
-                cols[1] += ids[rows[first]].tolist()
-                cols[2] += hs[rows[first]].tolist()
-                cols[3] += places[first].tolist()
-                cols[4] += [None] * int(first.sum())
-                cols[5] += [None] * int(first.sum())
-                lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+                lead = np.flatnonzero(first)
+                if len(seen) > SEEN:
+                    seen.clear()
+                known = [seen.setdefault(w, at) for w, at in zip(name[lead].tolist(), zip(ids[rows[lead]].tolist(), hs[rows[lead]].tolist(), places[lead].tolist(), strict=True), strict=True)]
+                earliest = np.array(known, np.int64)[np.cumsum(first) - 1]
                 # a repeated row of the table stands at the same place and isn't later
-                late = (ids[rows] != ids[rows[lead]]) | (hs[rows] != hs[rows[lead]]) | (places != places[lead])
+                late = (ids[rows] != earliest[:, 0]) | (hs[rows] != earliest[:, 1]) | (places != earliest[:, 2])
+                fresh = first & ~late
+                cols[0] += name[fresh].view(np.int64).tolist()
+                cols[1] += ids[rows[fresh]].tolist()
+                cols[2] += hs[rows[fresh]].tolist()
+                cols[3] += places[fresh].tolist()
+                cols[4] += [None] * int(fresh.sum())
+                cols[5] += [None] * int(fresh.sum())
                 rows, places = rows[late], places[late]
                 later = np.lexsort((places, rows))
                 rows, places = rows[later], places[later]
@@ -265,12 +274,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = COVER_GRAM
     listed = cover.join(repeated, F.col("name") == F.col("r")).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("name", "hot")).alias("found"))
     listed = listed.select("i", "g", F.col("found.name").alias("names"), F.col("found.hot").alias("hots"))
     same = (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))
-    runs = written(arrow_map(first.join(listed, same).select("id", "h", "text", "names", "hots"), _runs(length, gram), RUNS))
+    runs = written(arrow_map(first.join(listed, same).select("id", "h", "text", "names", "hots").sortWithinPartitions("id", "h"), _runs(length, gram), RUNS))
     spans = "id long, h long, at long, upto long"
     cold = arrow_map(runs.where("bytes IS NOT NULL").select("bucket", "id", "h", "at", "bytes").repartition("bucket").sortWithinPartitions("bucket", "id", "h", "at"), _sort_buckets(length), spans)
     dealt = runs.where("bytes IS NULL AND upto IS NULL").select("bucket", "id", "h", "at")
-    earliest = dealt.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct("id", "h", "at")).alias("first"))
-    warm = dealt.join(earliest, F.col("bucket") == F.col("b")).where(F.struct("id", "h", "at") != F.col("first")).select("id", "h", "at", (F.col("at") + length).alias("upto"))
+    by_name = Window.partitionBy("bucket").orderBy("id", "h", "at")  # a row per task that met the name
+    warm = dealt.withColumn("first", F.first(F.struct("id", "h", "at")).over(by_name)).where(F.struct("id", "h", "at") != F.col("first")).select("id", "h", "at", (F.col("at") + length).alias("upto"))
     decided = runs.where("upto IS NOT NULL").select("id", "h", "at", "upto")
     gathered = cold.union(warm).union(decided).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("at", "upto")).alias("spans"))
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from_byte:long,to_byte:long>>"
