@@ -18,6 +18,7 @@ has a fixed bound; more blocks mean more passes, not a larger automaton.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -56,7 +57,7 @@ def build_automaton(items: list[tuple[object, bytes]], size: int) -> tuple[dict[
 
 def scan_words(words: list[bytes], numbers: dict[bytes, int], automaton) -> tuple[list[tuple[int, int]], set]:
     """Hit word ranges [from, to), merged and in order, and the items found."""
-    ids = tuple(numbers.get(w, 0) for w in words)
+    ids = tuple(map(numbers.get, words, repeat(0)))
     if not any(ids):
         return [], set()
     spans: list[tuple[int, int]] = []
@@ -116,46 +117,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumns(
         {"hits": F.lit(None).cast("array<struct<a:long,b:long>>"), "items": F.lit(None).cast("array<string>")}
     )
-    blocks = _blocks(benchmark, window, block_words)
-    for items in blocks:
-        df = arrow_map(df, _scan_pass(spark.sparkContext.broadcast(items), window), df.schema)
     out = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {OUT}"
-    return arrow_map(df, _finish, out)
+    blocks = _blocks(benchmark, window, block_words) or [[]]
+    for k, items in enumerate(blocks, start=1):
+        last = k == len(blocks)
+        df = arrow_map(df, _scan_pass(spark.sparkContext.broadcast(items), window, id_col if last else None), out if last else df.schema)
+    return df
 
 
-def _scan_pass(items, window: int):
+def _scan_pass(items, window: int, finish: str | None):
+    """Add a block's hits; in the last pass give the result, the id under the name ``finish``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, automaton = build_automaton(items.value, window)  # once a task
         for batch in batches:
-            if automaton is None:
-                yield batch
-                continue
             hits, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows: list[list] = [[], [], [], [], []]
             for i, text in enumerate(binaries(batch, "text")):
-                spans, found = scan_words(folded_words(text), numbers, automaton)
+                words = folded_words(text)
+                spans, found = scan_words(words, numbers, automaton) if automaton is not None else ([], set())
                 if spans:
                     hits[i] = (hits[i] or []) + [{"a": a, "b": b} for a, b in spans]
                     names[i] = (names[i] or []) + sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hits, batch.schema.field(2).type), pa.array(names, batch.schema.field(3).type)], schema=batch.schema
-            )
+                if finish is not None:
+                    for column, value in zip(rows, _judged(text, words, hits[i], names[i]), strict=True):
+                        column.append(value)
+            if finish is None:
+                arrays = [batch.column(0), batch.column(1), pa.array(hits, batch.schema.field(2).type), pa.array(names, batch.schema.field(3).type)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            else:
+                span = pa.list_(pa.struct([("from_char", pa.int64()), ("to_char", pa.int64())]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span]
+                columns = [batch.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), pa.array([n > 0 for n in rows[1]], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[finish, "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("from_char", pa.int64()), ("to_char", pa.int64())]))
-    for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for text, hits, items in zip(binaries(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            merged = merge([(h["a"], h["b"]) for h in hits or []])
-            names = sorted(set(items or []))
-            chars = char_spans(text, merged) if merged else []
-            for column, value in zip(rows, (len(folded_words(text)), sum(b - a for a, b in merged), len(names), names, [{"from_char": a, "to_char": b} for a, b in chars]), strict=True):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span]
-        columns = [batch.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), pa.array([n > 0 for n in rows[1]], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.field(0).name, "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
+def _judged(text: bytes | None, words: list[bytes], hits: list[dict] | None, names: list[str] | None) -> tuple:
+    """n_words, n_hit, n_items, items and spans of one document."""
+    if not hits:
+        return len(words), 0, 0, [], []
+    merged = merge([(h["a"], h["b"]) for h in hits])
+    items = sorted(set(names or []))
+    return len(words), sum(b - a for a, b in merged), len(items), items, [{"from_char": a, "to_char": b} for a, b in char_spans(text, merged)]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, jaccard, language, licenses, lines, mixing, perplexity, sharding, substrings
+from . import decontamination, html, jaccard, language, licenses, lines, mixing, oracles, perplexity, sharding, substrings
 from .common import table
 
 N_SHARDS = 24
@@ -64,6 +64,10 @@ QUERIES = {
 _FOLDED = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    "op3_line_dedup": oracles.LINES,
+    "op4_sharding": oracles.SHARDS,
+    "op5_suffix_array_dedup": oracles.SUBSTRINGS,
+    "op9_license_scans": oracles.licenses_sql(),
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_FOLDED}, []) AS w FROM documents),
 b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
