@@ -115,3 +115,17 @@ def profile(feed: DataFrame, top: int = 50) -> DataFrame:
 def quantiles(df: DataFrame, column: str, keep: Sequence[str] = (), qs: Sequence[float] = QUANTILES[:5]) -> DataFrame:
     """Approximate percentiles; memory stays bounded per group."""
     return df.groupBy(*keep).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("avg"), *[F.percentile_approx(column, q, 10_000).alias(f"p{q * 100:g}".replace(".", "_")) for q in qs])
+
+
+class ErrorLog(Listener):
+    """Counts errors by node and hands the first of each interval to ``write``."""
+
+    def __init__(self, write=print, interval_s: float = 1.0):
+        self.write, self.interval, self.counts, self._next = write, interval_s, {}, {}
+
+    def on_error(self, epoch, node, error):
+        self.counts[node] = self.counts.get(node, 0) + 1
+        now = time.monotonic()
+        if now >= self._next.get(node, 0.0):
+            self._next[node] = now + self.interval
+            self.write(f"epoch {epoch}, {node}: {error!r} ({self.counts[node]} so far)")
