@@ -82,10 +82,10 @@ class Rolling:
         return self.fit(aggregate.over(self.last(_least(size, 2))))
 
 
-def log_return(column: str, key: Sequence[str], order: Sequence[str]) -> Column:
+def log_return(column: str, key: Sequence[str], order: Sequence[str], also: Column | None = None) -> Column:
     """ln(x / previous positive x); first 0, NaN where x isn't positive."""
     x = number(F.col(column))
-    r = Rolling([column], key, order, also=x > 0)
+    r = Rolling([column], key, order, also=x > 0 if also is None else also & (x > 0))
     before = F.lag(x).over(r.base)
     return r.fit(F.coalesce(F.ln(F.when(r.ok, F.try_divide(x, before))), F.lit(0.0)))
 

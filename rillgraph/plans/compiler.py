@@ -11,6 +11,9 @@ Physical plans, the cheapest that is exact being taken:
 * ``columns``: column expressions and windows, nothing but Catalyst. For graphs of
   stateless nodes (either reading, if all cutoffs are exact), and for
   graphs with windows and lags when every row is an evaluation.
+* ``flags``: the incremental reading of graphs of stateless nodes, windows, lags,
+  conditions, selects and switches. Each node is three columns: value, evaluated, changed; values
+  carry forward over rows that don't evaluate, windows run over those that do.
 * ``stretches``: one ordered pass a key with array kernels (every_row).
 * ``engine``: one ordered pass a key with the incremental engine (changed, and vectors).
 
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..functions.cutoffs import changed_column
 from ..functions.kernels import NAN
 from ..operators.engine import Engine
 from ..operators.rolling import Rolling, log_return
@@ -41,6 +45,8 @@ _STATELESS = {"SPREAD", "TRI_ARB_SPREAD", "AVERAGE", "WEIGHTED_AVG", "HARMONIC_M
 _LATER = {"CONDITION", "SELECT", "SWITCH"}
 _WINDOWS = {"SMA": ("sma", 10), "ROLLING_MAX": ("rolling_max", 10), "ROLLING_MIN": ("rolling_min", 10), "ROLLING_SUM": ("rolling_sum", 10), "ROLLING_VARIANCE": ("rolling_variance", 10), "HIST_VOL": ("hist_vol", 10), "Z_SCORE": ("z_score", 20), "BETA": ("beta", 20), "CORRELATION": ("correlation", 20)}
 _LAGS = {"DIFF", "LOG_RETURN"}
+#: Nodes that a flagged plan may have: each level adds window operators, and the engine overtakes them.
+MAX_FLAGGED = 16
 
 
 def quoted(name: str) -> str:
@@ -62,7 +68,7 @@ class CompiledPlan:
         """
         order = list(order or (ts, "seq"))
         strategy = "engine" if feed else self.strategy
-        return {"columns": _columns, "stretches": _stretches, "engine": _engine}[strategy](self, epochs, list(key), ts, order, feed)
+        return {"columns": _columns, "flags": _flags, "stretches": _stretches, "engine": _engine}[strategy](self, epochs, list(key), ts, order, feed)
 
 
 def compile_graph(graph: GraphSpec, outputs: Sequence[str] | None = None, evaluation: str = "changed", strategy: str | None = None) -> CompiledPlan:
@@ -87,8 +93,12 @@ def strategies(graph: GraphSpec, evaluation: str) -> list[str]:
         shapes = {graph.registry.kind(n.type).shape for n in graph.nodes}
         if shapes <= {"scalar", "boolean", "switch", "select"}:
             out.append("stretches")
-    elif scalars <= _STATELESS and exact:
-        out.append("columns")
+    else:
+        if scalars <= _STATELESS and exact:
+            out.append("columns")
+        named = all(isinstance(n.properties.get("cutoff", "exact"), str) and not callable(n.properties.get("operator")) for n in graph.nodes)
+        if scalars <= _STATELESS | _LATER | set(_WINDOWS) | _LAGS and named and len(graph.nodes) <= MAX_FLAGGED:
+            out.append("flags")
     return [*out, "engine"]
 
 
@@ -118,9 +128,85 @@ def _levels(graph: GraphSpec) -> list[list]:
     return [levels[d] for d in sorted(levels)]
 
 
-def _expression(graph: GraphSpec, n, key: list[str], order: list[str]):
-    names = [p for _, p in graph.registry.ordered_inputs(n)]
-    inputs = [F.col(quoted(p)) for p in names]
+def _flags(plan: CompiledPlan, epochs: DataFrame, key: list[str], ts: str, order: list[str], feed: bool) -> DataFrame:
+    graph = plan.graph
+    w = ordered(key, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    index = {n: i for i, n in enumerate(graph.topology.order)}
+    # d: evaluated, c: changed, s: a switch's side; values are under v
+    v, d, c, side = ({n: f"{p}{i}__" for n, i in index.items()} for p in "vdcs")
+    present = set(_source_columns(plan, epochs))
+    df = epochs.select(*key, *order, *[F.col(quoted(n)).cast("double").alias(f"u{index[n]}__") for n in present])
+    df = df.withColumn("first__", F.row_number().over(w) == 1)
+    made = {}
+    for n in graph.sources():
+        start = F.lit(as_float(n.properties.get("value"), NAN))
+        update = F.col(f"u{index[n.name]}__") if n.name in present else F.lit(None).cast("double")
+        made[v[n.name]] = F.coalesce(F.last(update, ignorenulls=True).over(upto), start)
+        made[d[n.name]] = F.col("first__") | update.isNotNull()
+    df = df.withColumns(made)
+    made = {}
+    for n in graph.sources():
+        prev, cutoff = F.lag(v[n.name]).over(w), n.properties.get("cutoff", "exact")
+        moved = F.lit(False) if cutoff == "never" else changed_column(cutoff, prev, F.col(v[n.name]), _tolerance(n))
+        made[c[n.name]] = F.col(d[n.name]) & (prev.isNull() | F.isnan(prev) | moved)
+    df = df.withColumns(made)
+    for level in _levels(graph):
+        df = df.withColumns({d[n.name]: _triggered(graph, n, c, side) for n in level})
+        made = {}
+        for n in level:
+            inputs = [v[p] for _, p in graph.registry.ordered_inputs(n)]
+            on = F.col(d[n.name])
+            if n.type in _WINDOWS or n.type in _LAGS:
+                made[f"r{index[n.name]}__"] = _expression(graph, n, key, order, inputs, on)
+            else:
+                made[f"r{index[n.name]}__"] = _expression(graph, n, key, order, inputs)
+        df = df.withColumns(made)
+        made = {}
+        for n in level:
+            default = F.lit(False) if n.type == "CONDITION" else F.lit(NAN)
+            made[v[n.name]] = F.coalesce(F.last(F.when(F.col(d[n.name]), F.col(f"r{index[n.name]}__")), ignorenulls=True).over(upto), default)
+            if n.type == "SWITCH":
+                test = v[graph.registry.ordered_inputs(n)[1][1]]
+                made[side[n.name]] = F.coalesce(F.last(F.when(F.col(d[n.name]), F.col(test)), ignorenulls=True).over(upto), F.lit(False))
+            if n.type == "CONDITION":
+                made[f"e{index[n.name]}__"] = F.count(F.when(F.col(d[n.name]), 1)).over(upto)
+        df = df.withColumns(made)
+        made = {}
+        for n in level:
+            value, prev = F.col(v[n.name]), F.lag(v[n.name]).over(w)
+            if n.type == "SWITCH":
+                moved = F.lit(True)
+            elif n.type == "CONDITION":
+                moved = (F.col(f"e{index[n.name]}__") == 1) | (value != F.coalesce(prev, F.lit(False)))
+            else:
+                moved = changed_column(n.properties.get("cutoff", "exact") if graph.registry.kind(n.type).cutoff else "exact", prev, value, _tolerance(n))
+            made[c[n.name]] = F.col(d[n.name]) & moved
+        df = df.withColumns(made)
+    return df.select(*key, *order, *[F.col(v[o]).alias(o) for o in plan.outputs])
+
+
+def _tolerance(n) -> float | None:
+    return None if n.properties.get("tolerance") is None else float(n.properties["tolerance"])
+
+
+def _triggered(graph: GraphSpec, n, c: dict[str, str], side: dict[str, str]):
+    """Evaluated: any parent changed, over an edge that no switch cuts."""
+    out = F.lit(False)
+    for p in graph.topology.parents(n.name):
+        edge = F.col(c[p])
+        spec = graph.node(p)
+        if spec.type == "SWITCH":
+            yes, no = (n.name in ([b] if isinstance(b, str) else b or []) for b in (spec.properties.get("true_branch"), spec.properties.get("false_branch")))
+            if yes != no:
+                edge = edge & (F.col(side[p]) if yes else ~F.col(side[p]))
+        out = out | edge
+    return out
+
+
+def _expression(graph: GraphSpec, n, key: list[str], order: list[str], columns: list[str] | None = None, also=None):
+    names = columns or [quoted(p) for _, p in graph.registry.ordered_inputs(n)]
+    inputs = [F.col(p) for p in names]
     p = n.properties
     if n.type in _STATELESS:
         return {"SPREAD": C.spread, "TRI_ARB_SPREAD": C.tri_arb_spread, "AVERAGE": C.average, "WEIGHTED_AVG": C.weighted_average, "HARMONIC_MEAN": C.harmonic_mean}[n.type](*inputs)
@@ -131,8 +217,8 @@ def _expression(graph: GraphSpec, n, key: list[str], order: list[str]):
     if n.type == "SWITCH":
         return inputs[0]
     if n.type == "LOG_RETURN":
-        return log_return(quoted(names[0]), key, order)
-    rolling = Rolling([quoted(x) for x in names], key, order)
+        return log_return(names[0], key, order, also)
+    rolling = Rolling(names, key, order, also)
     if n.type == "DIFF":
         return rolling.diff()
     method, size = _WINDOWS[n.type]

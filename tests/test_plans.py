@@ -86,6 +86,33 @@ def test_incremental_plan_is_the_engine(spark, seed):
     agree(plan.run(frame(spark, rows, sources), key=["key"]).collect(), simulated(graph, rows, sources, outputs), outputs)
 
 
+def gates_without_time():
+    b = GraphBuilder()
+    x, y = b.scalar_source("x", cutoff="absolute", tolerance=0.5), b.scalar_source("y", 1.0)
+    s = b.switch("s", x, b.condition("c", x, ">", 2.0))
+    yes, no = b.node("yes", "SPREAD", {"a": s, "b": y}), b.node("no", "SPREAD", {"a": s, "b": y})
+    b.mark_branch("s", yes, True), b.mark_branch("s", no, False)
+    b.rolling("sum", "ROLLING_SUM", yes, 3)
+    b.node("diff", "DIFF", {"input": b.node("sma", "SMA", {"input": x, "trigger": y}, window=3, cutoff="relative", tolerance=0.2)})
+    b.node("log", "LOG_RETURN", {"input": y}), b.node("still", "AVERAGE", {"a": b.node("off", "SPREAD", {"a": x, "b": y}, cutoff="never")})
+    b.select("pick", "c", x, y), b.condition("other", "yes", "!=", 0.0)
+    return b.build()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_flagged_columns_are_the_engine(spark, seed):
+    """All of the incremental reading as window expressions."""
+    graph, sources = gates_without_time(), ["x", "y"]
+    outputs = ["c", "s", "yes", "no", "sum", "diff", "sma", "log", "off", "still", "pick", "other"]
+    rows = rows_of(seed, 300, 7, sources)
+    plan = compile_graph(graph, outputs)
+    assert plan.strategy == "flags"
+    df = plan.run(frame(spark, rows, sources), key=["key"])
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text and "Arrow" not in text
+    agree(df.collect(), simulated(graph, rows, sources, outputs), outputs)
+
+
 def test_every_row_plans_agree(spark):
     sources = ["s1", "s2", "s3"]
     rows = rows_of(3, 400, 3, sources)
