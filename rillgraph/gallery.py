@@ -14,6 +14,7 @@ from .functions import columns as C
 from .functions import kernels as K
 from .functions.cutoffs import vector_changed_column
 from .operators import changes, telemetry
+from .operators.ranged import ranged_rolling
 from .operators.rolling import Rolling, log_return, twap
 from .operators.scans import recur
 from .plans.builder import GraphBuilder
@@ -82,6 +83,14 @@ _rolling("rolling_variance", 10, f"coalesce(var_samp(value) {_frame(10)}, 0)")
 _rolling("hist_vol", 10, f"stddev_pop(value) {_frame(10)}")
 _rolling("z_score", 20, f"CASE WHEN var_pop(value) {_frame(20)} <= 1e-9 THEN 0 ELSE (value - avg(value) {_frame(20)}) / sqrt(var_pop(value) {_frame(20)}) END")
 
+
+
+@query(f"SELECT event_id, round(avg(value) {_frame(10)}, 8) AS sma FROM events")
+def sma_ranged(spark, d):
+    """The same moving average, by ranges instead of keys."""
+    return ranged_rolling(events(spark, d), ["value"], KEY, ORDER, 10, {"sma": lambda w: F.round(w.sma(10), 8)}).select("event_id", "sma")
+
+
 _L_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _L_KEYS = "l_suppkey, l_orderkey, l_linenumber, l_partkey, l_shipdate"
 _LW = f"OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_L_ORDER)} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"

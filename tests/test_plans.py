@@ -259,3 +259,21 @@ def test_stream_equals_batch(spark, tmp_path):
         return all(all(same(r[o], x) for o, x in zip(outputs, e[r["seq"]], strict=True)) for r in got)
 
     assert any(fits(e) for e in expected)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_ranged_windows_equal_plain_ones(spark, partitions):
+    """A hot key spans many ranges; small ranges make windows look back over several."""
+    from rillgraph.operators.ranged import ranged_rolling
+    from rillgraph.operators.rolling import Rolling
+
+    r = random.Random(7)
+    rows = [("hot" if r.random() < 0.6 else f"k{r.randrange(9)}", i, None if r.random() < 0.1 else NAN if r.random() < 0.1 else r.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, seq int, x double")
+    made = {"sma": lambda w: w.sma(9), "low": lambda w: w.rolling_min(3), "diff": lambda w: w.diff()}
+    plain = Rolling(["x"], ["k"], ["seq"])
+    expected = {(row["k"], row["seq"]): row for row in df.withColumns({n: f(plain) for n, f in made.items()}).collect()}
+    got = ranged_rolling(df, ["x"], ["k"], ["seq"], 9, made, partitions).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        assert all(same(row[n], expected[row["k"], row["seq"]][n]) for n in made)
