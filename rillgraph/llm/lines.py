@@ -12,9 +12,9 @@ longer one are within one insertion when a variant of the longer equals the
 shorter. Equal keys are reduced to their earliest line, so the pairs of a group are never listed; each
 line is then verified against that earliest line by its words.
 
-Before variants are made, halves sort out lines that can have no partner: one edit
-leaves the first or the last half of the line as it was, so lines whose halves
-occur nowhere else need no variants. This keeps the result whole and the shuffles small.
+Before variants are made, halves sort out what can have no partner: one edit
+leaves the first or the last half of the line as it was, so a line whose half
+occurs nowhere else needs no variants in the other half. This keeps the result whole and the shuffles small.
 
 Defined results. A null text has no lines, an empty text one empty line. Lines without words are never removed.
 A null id comes last. Rows that repeat an id come in the order of a hash of
@@ -36,13 +36,9 @@ MIN_WORDS = 8
 _LAST = (1 << 63) - 1
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, lower-cased; white space is the ASCII six."""
-    return F.filter(F.split(F.lower(line), r"[ \t-\r]"), lambda w: w != "")
-
-
-def _hash(words: Column) -> Column:
-    return F.xxhash64(F.array_join(words, " "), F.size(words))
+def _plain(text: Column) -> Column:
+    """Lower case, and one space for white space inside lines (the ASCII six without the line feed)."""
+    return F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]+", " ")
 
 
 def _running(words: Column) -> Column:
@@ -59,40 +55,53 @@ def _without(words: Column, m: Column, i: Column, whole: Column) -> Column:
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_lines, n_exact, n_near, text (the lines that stay)."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    exploded = docs.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    line = exploded.select("id", "h", "no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    place, size = F.struct("id", "h", "no"), F.size("words")
-    half, upper = F.floor(size / 2).cast("int"), F.floor((size + 1) / 2).cast("int")
-    near = size >= min_words - 1
+    exploded = docs.select("id", "h", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("no", "line"))
+    line = exploded.select("id", "h", "no", F.trim("line").alias("line")).where("line <> ''")
+    place = F.struct("id", "h", "no")
+    sized = line.withColumn("m", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    near = F.col("m") >= min_words - 1
+    half, upper = F.floor(F.col("m") / 2).cast("int"), F.floor((F.col("m") + 1) / 2).cast("int")
 
-    def part(side: str, whole: Column, start, length) -> Column:
-        return F.when(near, F.xxhash64(F.lit(side), whole, _hash(F.slice("words", start, length))))
+    def part(side: str, whole: Column, words: Column) -> Column:
+        return F.when(near, F.xxhash64(F.lit(side), whole, F.call_function("substring_index", F.col("line"), F.lit(" "), words)))
 
     # For a pair whose longer line has `whole` words: what stands before its middle, or after.
     keyed = written(
-        line.select(
-            "id", "h", "no", _hash(F.col("words")).alias("key"),
-            part("a", size, F.lit(1), half).alias("h1"), part("z", size, half + 1, size).alias("h2"),
-            part("a", size + 1, F.lit(1), upper).alias("h3"), part("z", size + 1, upper, size).alias("h4"),
+        sized.select(
+            "id", "h", "no", "m", F.xxhash64("line", "m").alias("key"),
+            part("a", F.col("m"), half).alias("h0"), part("z", F.col("m"), half - F.col("m")).alias("h1"),
+            part("a", F.col("m") + 1, upper).alias("h2"), part("z", F.col("m") + 1, upper - F.col("m") - 1).alias("h3"),
         )
     )
 
     # Equal lines: the earliest stands for all.
-    equal = written(keyed.groupBy("key").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in ("h1", "h2", "h3", "h4")]))
-    halves = equal.where(F.col("h1").isNotNull()).select("key", F.explode(F.array("h1", "h2", "h3", "h4")).alias("half"))
+    equal = written(keyed.groupBy("key").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in ("h0", "h1", "h2", "h3")]))
+    halves = equal.where(F.col("h0").isNotNull()).select("key", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select(F.col("half").alias("s"))
-    maybe = written(halves.join(shared, F.col("half") == F.col("s"), "left_semi").select("key").distinct().join(equal.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("k", "first"))
+    kinds = halves.join(shared, F.col("half") == F.col("s"), "left_semi").groupBy(F.col("key").alias("k")).agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
+    maybe = written(kinds.join(equal.select("key", "first"), F.col("key") == F.col("k")).select("k", "kinds", "first"))
 
-    # Words of the lines that may have a partner, and their variants.
+    # Words of the lines that may have a partner, and their variants where the edit can be.
     small = maybe.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = maybe.select("k", F.col("first.id").alias("i"), F.col("first.h").alias("g"), F.col("first.no").alias("at"))
+    wanted = maybe.select("k", "kinds", F.col("first.id").alias("i"), F.col("first.h").alias("g"), F.col("first.no").alias("at"))
     here = (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")) & (F.col("no") == F.col("at"))
-    picked = written(line.join(F.broadcast(wanted) if small else wanted, here).select(F.col("k").alias("key"), place.alias("place"), "words").dropDuplicates(["key"]))
-    run = picked.select("key", "place", size.alias("m"), _running(F.col("words")).alias("fore"), F.reverse(_running(F.reverse("words"))).alias("aft"))
-    left_out = F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.struct(F.col("m").alias("whole"), i.alias("i"), F.xxhash64(F.element_at("fore", i), F.element_at("aft", i + 1)).alias("v")))
-    gaps = F.transform(F.sequence(F.lit(1), F.col("m") + 1), lambda i: F.struct((F.col("m") + 1).alias("whole"), i.alias("i"), F.xxhash64(F.element_at("fore", i), F.element_at("aft", i)).alias("v")))
+    found_lines = line.join(F.broadcast(wanted) if small else wanted, here).select(F.col("k").alias("key"), "kinds", place.alias("place"), F.split("line", " ").alias("words"))
+    picked = written(found_lines.dropDuplicates(["key"]))
+    run = picked.select("key", "kinds", "place", F.size("words").alias("m"), _running(F.col("words")).alias("fore"), F.reverse(_running(F.reverse("words"))).alias("aft"))
+    m = F.col("m")
+    half, upper = F.floor(m / 2).cast("int"), F.floor((m + 1) / 2).cast("int")
+
+    def variants_of(kind: int, whole: Column, begin: Column, end: Column, skip: int) -> Column:
+        """Of places begin to end; with ``skip`` 1 the word there is left out, with 0 it is the longer line's."""
+        made = F.transform(F.sequence(begin, end), lambda i: F.struct(whole.alias("whole"), i.alias("i"), F.xxhash64(F.element_at("fore", i), F.element_at("aft", i + skip)).alias("v")))
+        return F.when(F.col("kinds").bitwiseAND(1 << kind) > 0, made).otherwise(F.array().cast("array<struct<whole:int,i:int,v:bigint>>"))
+
+    one = F.lit(1)
+    left_out = [variants_of(0, m, half + 1, m, 1), variants_of(1, m, one, half, 1)]
+    gaps = [variants_of(2, m + 1, upper + 1, m + 1, 0), variants_of(3, m + 1, one, upper, 0)]
     # An edit of a line of min_words - 1 only counts if the longer line has min_words.
-    variants = written(run.select("key", "place", F.explode(F.when(F.col("m") >= min_words, F.concat(left_out, gaps)).otherwise(gaps)).alias("x")).select("key", "place", "x.*"))
+    every = F.when(m >= min_words, F.concat(*left_out, *gaps)).otherwise(F.concat(*gaps))
+    variants = written(run.select("key", "place", F.explode(every).alias("x")).select("key", "place", "x.*"))
     group = ["whole", "i", "v"]
     earliest = variants.groupBy(*group).agg(F.min(F.struct("place", "key")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(c + "2") for c in group], "lead")
     met = variants.join(earliest, (F.col("v") == F.col("v2")) & (F.col("i") == F.col("i2")) & (F.col("whole") == F.col("whole2"))).where(F.col("lead.place") < F.col("place"))
