@@ -41,7 +41,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROPPED = frozenset("aside button canvas datalist dialog fieldset footer form head header iframe input label legend math menu nav noscript object option optgroup output search select script style svg template textarea title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 _MARKS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|widget|related|share|social|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|form|comments?|comment-list|respond|replies|disqus)(?:$|[-_\s])", re.I
+    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menus?|breadcrumbs?|headers?|masthead|footers?|sidebars?|side-bar|aside|widgets?|related|share|social|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|forms?|comments?|commentlist|comment-list|respond|replies|disqus)(?:$|[-_\s])", re.I
 )
 #: A `p` ends when one of these begins; so do items of lists and tables with their own kind.
 _ENDS_P = _BLOCKS - {"html", "body", "head", "title", "option", "optgroup", "legend"}
