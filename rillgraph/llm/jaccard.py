@@ -54,11 +54,15 @@ BUCKETS = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words whose hashes a task remembers: some 25 MB.
+WORDS = 150_000
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

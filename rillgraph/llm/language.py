@@ -20,7 +20,6 @@ Prediction is one pass over the text without a shuffle.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ MAX_TRAIN, MAX_WORDS, MAX_GRAMS, MAX_GRAM = 20_000, 100_000, 40_000, 4
 #: A word seen so many times in the sample counts as known.
 MIN_COUNT = 2
 #: Memory of unseen words that one task keeps.
-MEMO = 200_000
+MEMO = 100_000
 
 UNDETERMINED = "und"
 
@@ -88,20 +87,12 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def _logs(rows: list[tuple[str, str, int]], langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Add-half log frequencies, centred over languages, of the most frequent keys."""
-    total = dict.fromkeys(langs, 0)
-    by: dict[str, dict[str, int]] = {}
-    for key, lang, n in rows:
-        total[lang] += n
-        by.setdefault(key, {})[lang] = n
-    kept = sorted(by, key=lambda k: (-sum(by[k].values()), k))[:most]
-    logs = np.empty((len(kept), len(langs)), np.float32)
-    for i, key in enumerate(kept):
-        logs[i] = [math.log((by[key].get(lang, 0) + 0.5) / (total[lang] + 0.5 * len(by))) for lang in langs]
-    if len(kept):
-        logs -= logs.mean(axis=1, keepdims=True)
-    return {k: i for i, k in enumerate(kept)}, logs
+def _logs(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """Add-half log frequencies (keys by languages), centred over languages."""
+    if not keys:
+        return {}, np.empty((0, counts.shape[1]), np.float32)
+    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(keys)))
+    return {k: i for i, k in enumerate(keys)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -115,9 +106,7 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WOR
     counts = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
         langs = sorted(r[0] for r in counts.select("lang").distinct().toLocalIterator())
-        # a key takes at most a row per language
-        words = _top(counts.withColumnRenamed("word", "key"), max_words, min_count)
-        tables = [_logs(words, langs, max_words)]
+        tables = [_logs(*_top(counts.withColumnRenamed("word", "key"), langs, max_words, min_count))]
         for n in range(1, max_gram + 1):
             padded = F.concat(F.lit(" "), "word", F.lit(" ")) if n > 1 else F.col("word")
             size = F.length(padded) - n + 1
@@ -128,16 +117,19 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WOR
                 .groupBy("lang", "key")
                 .agg(F.sum("n").alias("n"))
             )
-            tables.append(_logs(_top(grams, max_grams, min_count), langs, max_grams))
+            tables.append(_logs(*_top(grams, langs, max_grams, min_count)))
     finally:
         counts.unpersist()
     return Model(langs, tables[0][0], tables[0][1], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]])
 
 
-def _top(counts: DataFrame, most: int, min_count: int) -> list[tuple[str, str, int]]:
-    """Rows (key, lang, n) of the most frequent keys, at most ``most`` keys."""
-    keys = counts.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= min_count)
-    return [(r["key"], x["lang"], x["n"]) for r in keys.orderBy(F.col("all").desc(), "key").limit(most).collect() for x in r["by"]]
+def _top(counts: DataFrame, langs: list[str], most: int, min_count: int) -> tuple[list[str], np.ndarray]:
+    """The most frequent keys, at most ``most``, and their counts by language."""
+    by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
+    wide = counts.groupBy("key").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= min_count)
+    found = wide.orderBy(F.col("all").desc(), "key").limit(most).drop("all").toArrow()
+    columns = [found.column(f"c{i}").to_numpy() for i in range(len(langs))]
+    return found.column("key").to_pylist(), np.column_stack(columns).astype(np.float64) if columns else np.empty((0, 0))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
