@@ -7,7 +7,7 @@ of every document is counted. Spark adds up the n-gram counts; the model is
 pairs of arrays sorted by 64-bit hash (one pair for each order) with log
 probabilities and backoff weights. A document's score is the mean negative log
 probability per character. For each language a band around the corpus' median
-score, ``width`` robust deviations (median absolute deviation) to either side,
+score, ``below`` and ``above`` robust deviations (median absolute deviation) wide,
 is kept; what lies outside is rejected, as are documents that fail the base
 rules (under 50 words, or more than half of the words in repeated 3-word
 windows).
@@ -38,10 +38,11 @@ from .common import arrow_map, space_words, written
 ORDER = 4
 #: n-grams of the model at most; 16 bytes each where it is used.
 MAX_ENTRIES = 1_500_000
-#: Half the width of a band in robust deviations, and in nats at least.
-WIDTH, FLOOR = 5.0, 0.1
-#: Words remembered by one task.
-MEMO = 400_000
+#: A band's reach below and above the median in robust deviations, and in nats at
+#: least. Junk lies on both sides, but clean texts with a stretch in another language only above.
+BELOW, ABOVE, FLOOR = 5.0, 6.5, 0.1
+#: Words remembered by one task, and scored in one go.
+MEMO, WORDS = 400_000, 50_000
 _SYMBOLS = b"#*$%&|<>"
 _EDGE = 1  # no word holds this character
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +65,14 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     n = len(words) - size + 1
     if n < 2:
         return 0
+    # Windows by hash first; only texts in which two agree are looked at word by word.
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    window = h[:n].copy()
+    for k in range(1, size):
+        window = window * _P + h[k : n + k]
+    window.sort()
+    if not (window[1:] == window[:-1]).any():
+        return 0
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     window = ids[:n].copy()
@@ -177,29 +186,29 @@ class Model:
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, values = table
-        if not len(hashes):
+        if not len(hashes) or not len(keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return hashes[at] == keys, values[at]
+        # each key once and in order, which the search goes through far faster
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        return (hashes[at] == distinct)[inverse], values[at][inverse]
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Negative log probability and number of characters (with the end) of each word."""
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Negative log probability of each word, its end included."""
         chars, word = codes(words)
         total = np.zeros(len(chars))
-        open_ = np.ones(len(chars), bool)
+        left = np.arange(1, len(chars))  # places not yet decided; the first is an edge
         for n in range(self.order, 0, -1):
             h, context = gram_hashes(chars, n)
-            found, value = self._find(self.grams[n - 1], h)
-            use = open_ & found
-            total[use] += value[use]
-            open_ &= ~found
-            if n > 1 and open_.any():
-                seen, weight = self._find(self.backoffs[n - 1], context)
-                pay = open_ & seen
-                total[pay] += weight[pay]
-        total[open_] += self.unseen
+            found, value = self._find(self.grams[n - 1], h[left])
+            total[left[found]] += value[found]
+            left = left[~found]
+            if n > 1 and len(left):
+                seen, weight = self._find(self.backoffs[n - 1], context[left])
+                total[left[seen]] += weight[seen]
+        total[left] += self.unseen
         word_of = np.where(chars == _EDGE, word - 1, word)[1:]
-        return -np.bincount(word_of, weights=total[1:], minlength=len(words)), np.bincount(word_of, minlength=len(words))
+        return -np.bincount(word_of, weights=total[1:], minlength=len(words))
 
 
 def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -304,20 +313,20 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple[float, int]] = {}
+        memo: dict[bytes, float] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             read = [base_counts(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             if len(memo) > MEMO:
                 memo.clear()
-            fresh = list({w for r in read for w in r[0] if w not in memo})
-            if fresh:
-                nats, size = shared.value.word_scores([w.decode("utf-8", "replace").replace("\x01", " ") for w in fresh])
-                memo.update(zip(fresh, zip(nats.tolist(), size.tolist(), strict=True), strict=True))
+            fresh = list(set().union(*(r[0] for r in read)).difference(memo))
+            for i in range(0, len(fresh), WORDS):
+                some = fresh[i : i + WORDS]
+                memo.update(zip(some, shared.value.word_scores([w.decode("utf-8", "replace").replace("\x01", " ") for w in some]).tolist(), strict=True))
             for words, *counted in read:
-                got = [memo[w] for w in words]
-                n = sum(g[1] for g in got)
-                for col, value in zip(out, (len(words), *counted, sum(g[0] for g in got) / n if n else None), strict=True):
+                # characters are those of the words and an end for each
+                nats = sum(map(memo.__getitem__, words)) / (counted[0] + len(words)) if words else None
+                for col, value in zip(out, (len(words), *counted, nats), strict=True):
                     col.append(value)
             kinds = [pa.int64()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
@@ -327,7 +336,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return arrow_map(rows, run, f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
 
 
-def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, width: float = WIDTH, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id_col, counts, base_failed, score, band low and high, kept."""
     model = fit(docs, order=order, max_entries=max_entries, text_col=text_col)
     scored = written(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col))
@@ -336,8 +345,8 @@ def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES
     # a bounded summary of each language's scores, exact to a ten-thousandth of its rows
     middle = scored.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("score", 0.5, 10_000).alias("mid"))
     spread = scored.join(F.broadcast(middle), F.col("lang").eqNullSafe(F.col("l"))).groupBy(F.col("lang").alias("l")).agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("score") - F.col("mid")), 0.5, 10_000).alias("dev"))
-    half = F.greatest(F.col("dev") * 1.4826 * width, F.lit(floor))
-    bands = spread.select("l", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
+    reach = lambda width: F.greatest(F.col("dev") * 1.4826 * width, F.lit(floor))
+    bands = spread.select("l", (F.col("mid") - reach(below)).alias("low"), (F.col("mid") + reach(above)).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))
     return scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("l")), "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "low", "high", kept.alias("kept")
