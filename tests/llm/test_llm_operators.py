@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillgraph.llm import components, decontamination, html, jaccard as jac, language, licenses, lines, mixing, perplexity, sharding, substrings
+from rillgraph.llm import common, components, decontamination, html, jaccard as jac, language, licenses, lines, mixing, perplexity, sharding, substrings
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,10 @@ def test_smoothing_is_a_mean(xs, sigma):
     assert len(got) == len(xs) and min(xs) - 1e-6 <= got.min() and got.max() <= max(xs) + 1e-6
 
 
-def test_lines(spark, docs, rows, none):
+@pytest.mark.parametrize("small", [True, False])
+def test_lines(spark, docs, rows, none, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
     r = random.Random(4)
     words = [f"v{i}" for i in range(30)]
     base = [[r.choice(words) for _ in range(n)] for n in (7, 8, 8, 9, 12, 3)]
@@ -96,8 +99,9 @@ def test_lines(spark, docs, rows, none):
     for x in got:
         assert (x.n_lines, x.n_exact, x.n_near, x.text) == expected[1 << 62 if x.doc_id is None else x.doc_id]
     assert sum(x.n_near for x in got) > 10
-    assert lines.dedup_lines(none).count() == 0
-    assert lines.dedup_lines(docs).count() == len(rows)
+    if small:
+        assert lines.dedup_lines(none).count() == 0
+        assert lines.dedup_lines(docs).count() == len(rows)
 
 
 @pytest.mark.parametrize("n", [1, 5])
@@ -121,8 +125,16 @@ def test_sharding(docs, rows, none, n):
         sharding.shard_by_bytes(docs, 0)
 
 
-@pytest.mark.parametrize(("hot", "gram"), [(512, 32), (2, 32), (2, 60)])
-def test_substrings(spark, rows, hot, gram):
+def nothing_small(monkeypatch):
+    """As if no table were small enough to broadcast."""
+    for module in (common, jac, lines, mixing, substrings):
+        monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+
+
+@pytest.mark.parametrize(("hot", "gram", "small"), [(512, 32, True), (2, 60, False)])
+def test_substrings(spark, rows, hot, gram, small, monkeypatch):
+    if not small:
+        nothing_small(monkeypatch)
     some = [r for r in rows if r[1] is None or len(r[1]) < 5000]
     expected = repeats(some)
     got = substrings.remove_repeats(frame(spark, some), hot=hot, gram=gram).collect()
@@ -245,8 +257,8 @@ def test_kneser_ney_is_a_distribution():
                 logp += model.unseen
             total += math.exp(logp)
         assert total == pytest.approx(1.0, abs=0.02), context
-    nats, size = model.word_scores(["abra", "zzzz"])
-    assert nats[0] / size[0] < nats[1] / size[1] and list(size) == [5, 5]
+    nats = model.word_scores(["abra", "zzzz"])
+    assert nats[0] < nats[1]
 
 
 def test_quality_bands_reject_oddities(spark):
@@ -303,10 +315,12 @@ def test_jaccard(docs, rows, none):
     assert jac.jaccard_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_jaccard_near_threshold(spark, seed, monkeypatch):
     """Families of copies with all degrees of change, and few enough heavy elements to need whole sets."""
     monkeypatch.setattr(jac, "HEAVY", 3)
+    if seed:
+        nothing_small(monkeypatch)
     r = random.Random(seed)
     rows, i = [], 0
     for _ in range(5):
