@@ -41,8 +41,8 @@ MAX_ENTRIES = 1_500_000
 #: A band's reach below and above the median in robust deviations, and in nats at
 #: least. Junk lies on both sides, but clean texts with a stretch in another language only above.
 BELOW, ABOVE, FLOOR = 5.0, 6.5, 0.1
-#: Words remembered by one task, and scored in one go.
-MEMO, WORDS = 400_000, 50_000
+#: Words remembered by one task, counted in one go, and scored in one go.
+MEMO, COUNTED, WORDS = 300_000, 100_000, 50_000
 _SYMBOLS = b"#*$%&|<>"
 _EDGE = 1  # no word holds this character
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +161,7 @@ def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             for w in space_words(text):
                 held[w] = held.get(w, 0) + 1
-            if len(held) > MEMO:
+            if len(held) > COUNTED:
                 fold()
     fold()
     if parts:
