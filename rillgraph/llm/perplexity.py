@@ -18,9 +18,10 @@ A band needs no least number of documents: with a deviation of 0, only equal
 scores are inside ``floor`` nats. Repeated rows are judged one by one; other
 columns are not looked at.
 
-Scale: n-gram counts are added up in each task first. The model is bounded by
-``max_entries``: where more n-grams were seen, those of the highest order with the lowest counts go
-until it fits, as in count-cutoff pruning. No text is shuffled.
+Scale: n-gram counts are added up in each task first. Discounts, continuation counts
+and backoffs are computed in Spark, and no n-gram is pruned: more of them mean more
+blocks of about ``max_entries``, ranges of context hashes that are looked up one after another.
+No text is shuffled.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, space_words, written
 
 ORDER = 4
-#: n-grams of the model at most; 16 bytes each where it is used.
+#: n-grams of one block of the model, of all orders, about; 24 bytes each at most where it is used.
 MAX_ENTRIES = 1_500_000
 #: A band's reach below and above the median in robust deviations, and in nats at
 #: least. Junk lies on both sides, but clean texts with a stretch in another language only above.
@@ -178,7 +179,7 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Sorted hash arrays: for each order log probabilities, for contexts backoff weights."""
+    """Sorted hash arrays: for each order log probabilities, for contexts backoff weights. The whole model in memory; ``fit`` makes blocks of it."""
 
     def __init__(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], backoffs: list[tuple[np.ndarray, np.ndarray]], unseen: float):
         self.order, self.grams, self.backoffs, self.unseen = order, grams, backoffs, unseen
@@ -295,23 +296,122 @@ def _context_key(g: np.ndarray, n: int) -> np.ndarray:
     return mixed(_context_hash(g, n) * _P + np.uint64(n))
 
 
-def fit(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, text_col: str = "text") -> Model:
-    """Count all words of all documents; Spark sums, the driver gets at most max_entries n-grams."""
-    found = arrow_map(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")), partial(_count, order), "gram array<int>, n long")
-    counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
-    least = 1
-    while counts.where(F.col("n") >= least).limit(max_entries + 1).count() > max_entries:
-        least *= 2
-    rows = counts.where(F.col("n") >= least).toArrow()
-    n = rows.column("n").to_numpy()
-    grams = rows.column("gram").combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(len(n), order)
-    return estimate(order, grams, n)
+def _levels(order: int, counts: DataFrame) -> list[DataFrame]:
+    """gram, logp, delta, mass of each order, shortest first: ``estimate`` in Spark.
 
+    ``delta`` is logp less the logp of the shorter n-gram that it stands for;
+    ``mass`` is the backoff weight of the n-gram's context.
+    """
+    g, counted = counts.select("gram", F.col("n").cast("double").alias("c")), []
+    for n in range(order, 0, -1):
+        counted.append(g)
+        if n > 1:
+            whole = F.element_at("gram", n - 1).isin(0, _EDGE) if n > 2 else F.lit(False)
+            shorter = g.groupBy(F.slice("gram", 1, n - 1).alias("gram")).agg(F.count("*").cast("double").alias("kinds"), F.sum("c").alias("sums"))
+            g = written(shorter.select("gram", F.when(whole, F.col("sums")).otherwise(F.col("kinds")).alias("c")))
+    vocabulary = max(1, counted[-1].count()) + 1
+    out: list[DataFrame] = []
+    for n, g in enumerate(reversed(counted), start=1):
+        seen = {int(r.c): r.n for r in g.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
+        d1, d2, d3 = _discounts(np.repeat([1, 2, 3, 4], [seen.get(k, 0) for k in (1, 2, 3, 4)]))
+        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        g = g.select("gram", "c", cut.alias("cut"), F.slice("gram", 2, n - 1).alias("ctx") if n > 1 else F.array().cast("array<int>").alias("ctx"))
+        totals = g.groupBy(F.col("ctx").alias("of")).agg(F.sum("c").alias("total"), F.sum("cut").alias("left"))
+        g = g.join(totals, F.col("ctx") == F.col("of"))
+        low = F.lit(1.0 / vocabulary)
+        if n > 1:
+            g = g.join(out[-1].select(F.col("gram").alias("short"), F.exp("logp").alias("low")), F.slice("gram", 1, n - 1) == F.col("short"))
+            low = F.col("low")
+        logp = F.log((F.col("c") - F.col("cut")) / F.col("total") + F.col("left") / F.col("total") * low)
+        g = g.select("gram", logp.alias("logp"), (logp - F.log(low) if n > 1 else logp).alias("delta"), F.log(F.col("left") / F.col("total")).alias("mass"))
+        out.append(written(g))
+    return out
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, base counts and score (mean nats per character; null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+def _keys(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        g = batch.column(0).flatten().to_numpy().astype(np.uint32).reshape(batch.num_rows, n)
+        arrays = [pa.array(f(g, n).view(np.int64)) for f in (_context_key, _gram_key)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, n, np.int32)), *arrays, batch.column(1), batch.column(2)], names=["level", "ctx", "key", "delta", "mass"])
+
+
+class Block:
+    """The n-grams of a range of context hashes: what each order adds to the one below it."""
+
+    def __init__(self, order: int, low: int, high: int, grams: list, backoffs: list, unseen: float):
+        self.order, self.low, self.high, self.grams, self.backoffs, self.unseen = order, low, high, grams, backoffs, unseen
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """The block's share of each word's negative log probability; shares of all blocks add up."""
+        chars, word = codes(words)
+        total = np.zeros(len(chars))
+        for n in range(1, self.order + 1):
+            h, context = gram_hashes(chars, n)
+            # the first place is an edge
+            mine = np.flatnonzero((context >= np.uint64(self.low)) & (context <= np.uint64(self.high)) & (np.arange(len(chars)) > 0))
+            found, value = Model._find(self.grams[n - 1], h[mine])
+            total[mine[found]] += value[found]
+            mine = mine[~found]
+            if n == 1:
+                total[mine] += self.unseen
+            else:
+                seen, weight = Model._find(self.backoffs[n - 1], context[mine])
+                total[mine[seen]] += weight[seen]
+        word_of = np.where(chars == _EDGE, word - 1, word)[1:]
+        return -np.bincount(word_of, weights=total[1:], minlength=len(words))
+
+
+def fit(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, text_col: str = "text") -> list:
+    """Count all words of all documents and estimate in Spark; broadcast blocks of about max_entries n-grams.
+
+    Every counted n-gram is in one block. Blocks are ranges of context hashes, so
+    an n-gram, its context's backoff weight and all that follows the context are in one.
+    """
+    spark = docs.sparkSession
+    found = arrow_map(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")), partial(_count, order), "gram array<int>, n long")
+    counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
+    levels = _levels(order, counts)
+    keyed = None
+    for n, level in enumerate(levels, start=1):
+        k = arrow_map(level.select("gram", "delta", "mass"), partial(_keys, n), "level int, ctx long, key long, delta double, mass double")
+        keyed = k if keyed is None else keyed.union(k)
+    keyed = written(keyed)
+    blocks = max(1, -(-keyed.count() // max_entries))
+    vocabulary = levels[0].count() + 1
+    mass = levels[0].select("mass").first()
+    unseen = mass[0] - float(np.log(vocabulary)) if mass else -10.0
+    out = []
+    for b in range(blocks):
+        low, high = b * 2**64 // blocks, (b + 1) * 2**64 // blocks - 1
+        # as signed numbers the upper half of the hashes comes first
+        signed = [x - 2**64 if x >= 2**63 else x for x in (low, high)]
+        within = (F.col("ctx") >= signed[0]) & (F.col("ctx") <= signed[1]) if signed[0] <= signed[1] else (F.col("ctx") >= signed[0]) | (F.col("ctx") <= signed[1])
+        rows = keyed.where(within).toArrow()
+        level, ctx, key = (rows.column(c).to_numpy() for c in ("level", "ctx", "key"))
+        ctx, key, delta, weight = ctx.view(np.uint64), key.view(np.uint64), rows.column("delta").to_numpy(), rows.column("mass").to_numpy()
+        grams, backoffs = [], []
+        for n in range(1, order + 1):
+            at = np.flatnonzero(level == n)
+            at = at[np.argsort(key[at])]
+            grams.append((key[at], delta[at].astype(np.float32)))
+            hashes, first = np.unique(ctx[at], return_index=True)
+            backoffs.append((hashes, weight[at][first].astype(np.float32)))
+        out.append(spark.sparkContext.broadcast(Block(order, low, high, grams, backoffs, unseen)))
+    return out
+
+
+def _summed(blocks: list, words: list[str]) -> np.ndarray:
+    """Scores of words over all blocks; of several, one at a time is in memory."""
+    total = np.zeros(len(words))
+    for block in blocks:
+        total += block.value.word_scores(words)
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
+    return total
+
+
+def score(docs: DataFrame, blocks: list, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, base counts and score (mean nats per character; null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, float] = {}
         for batch in batches:
@@ -322,7 +422,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             fresh = list(set().union(*(r[0] for r in read)).difference(memo))
             for i in range(0, len(fresh), WORDS):
                 some = fresh[i : i + WORDS]
-                memo.update(zip(some, shared.value.word_scores([w.decode("utf-8", "replace").replace("\x01", " ") for w in some]).tolist(), strict=True))
+                memo.update(zip(some, _summed(blocks, [w.decode("utf-8", "replace").replace("\x01", " ") for w in some]).tolist(), strict=True))
             for words, *counted in read:
                 # characters are those of the words and an end for each
                 nats = sum(map(memo.__getitem__, words)) / (counted[0] + len(words)) if words else None
@@ -338,8 +438,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id_col, counts, base_failed, score, band low and high, kept."""
-    model = fit(docs, order=order, max_entries=max_entries, text_col=text_col)
-    scored = written(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    blocks = fit(docs, order=order, max_entries=max_entries, text_col=text_col)
+    scored = written(score(docs, blocks, id_col=id_col, text_col=text_col, lang_col=lang_col))
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     scored = scored.withColumn("base_failed", base_failed)
     # a bounded summary of each language's scores, exact to a ten-thousandth of its rows

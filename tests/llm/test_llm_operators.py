@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, SCHEMA, contaminated, dedup_lines, folded, frame, jaccard, odd_rows, quality, repeats, spaced
 from hypothesis import given, settings
@@ -271,6 +272,22 @@ def test_quality_bands_reject_oddities(spark):
     assert bounded.count() == 153
 
 
+def test_blocks_hold_every_ngram(spark):
+    """However small the blocks, scores are those of the whole model: nothing is pruned as tables grow."""
+    r = random.Random(4)
+    texts = [" ".join("".join(chr(r.choice([97, 0x4E00, 0x0430]) + r.randrange(20)) for _ in range(r.randrange(1, 6))) for _ in range(60)) for _ in range(20)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    out = list(perplexity._count(4, iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    model = perplexity.estimate(4, np.array([g for b in out for g in b.column(0).to_pylist()], np.uint32), np.concatenate([b.column(1).to_numpy() for b in out]))
+    words = sorted({w for t in texts for w in t.split()}) + ["zzz", "a?"]
+    for entries in (10**6, 1000):
+        blocks = perplexity.fit(docs, max_entries=entries)
+        assert (len(blocks) > 4) == (entries == 1000)
+        assert perplexity._summed(blocks, words) == pytest.approx(model.word_scores(words), abs=1e-3)
+    whole, small = ({x.doc_id: x.score for x in perplexity.judge(docs, max_entries=e).collect()} for e in (10**6, 1000))
+    assert whole == pytest.approx(small, abs=1e-5)
+
+
 LICENSED = [
     "Released under the MIT License. mit license", "Licensed under CC BY-NC 4.0.", "apache", "Licensed under the APACHE License, version 2.0", None, "", "general public license " * 3, LONG + " mit license " + LONG,
     "x " * 30 + "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " + "y " * 30,
