@@ -1,14 +1,17 @@
 """Quality rules by n-gram perplexity (operator 8).
 
-A modified Kneser-Ney model over the characters of words: a word is read
-between boundary signs, each character from the ``order - 1`` before it. The
-alphabet is bounded, so the counts are far smaller than the text, yet every word
-of every document is counted. Spark adds up the n-gram counts; the model is
-pairs of arrays sorted by 64-bit hash (one pair for each order) with log
-probabilities and backoff weights. A document's score is the mean negative log
-probability per character. For each language a band around the corpus' median
-score, ``below`` and ``above`` robust deviations (median absolute deviation) wide,
-is kept; what lies outside is rejected, as are documents that fail the base
+Two models over the whole corpus, both with modified Kneser-Ney discounts. Characters:
+a word is read between boundary signs, each character from the ``order - 1`` before
+it; Spark adds up the counts, and blocks of arrays sorted by 64-bit hash hold log
+probabilities and backoff weights. Words: each word is read after the one before
+it, and what the pairs' discounts free goes to the word as characters spell it. A
+document's own pairs are left out of its counts, and equal texts count as one.
+
+``score`` is the mean negative log probability per character of words in their
+order, ``spelled`` that of characters alone. For each language a band around the median
+``spelled``, ``below`` and ``above`` robust deviations (median absolute deviation) wide,
+is kept, and of ``score`` what is not over ``top``, ``above`` deviations over its median. What
+lies outside is rejected, as are documents that fail the base
 rules (under 50 words, or more than half of the words in repeated 3-word
 windows).
 
@@ -21,11 +24,15 @@ columns are not looked at.
 Scale: n-gram counts are added up in each task first. Discounts, continuation counts
 and backoffs are computed in Spark, and no n-gram is pruned: more of them mean more
 blocks of about ``max_entries``, ranges of context hashes that are looked up one after another.
-No text is shuffled.
+No text is shuffled. Pairs of words grow with the corpus: each text's are
+shuffled once, packed, to buckets by the first word; time and disk are in proportion to
+the text. All pairs after one word are in one task.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,8 +49,10 @@ MAX_ENTRIES = 1_500_000
 #: A band's reach below and above the median in robust deviations, and in nats at
 #: least. Junk lies on both sides, but clean texts with a stretch in another language only above.
 BELOW, ABOVE, FLOOR = 5.0, 6.5, 0.1
-#: Words remembered by one task, counted in one go, and scored in one go.
-MEMO, COUNTED, WORDS = 300_000, 100_000, 50_000
+#: Words counted in one go, and scored in one go.
+COUNTED, WORDS = 100_000, 50_000
+#: Words whose pairs one task packs in one go, and bytes of text whose pairs make a bucket.
+TOKENS, BUCKET_BYTES = 2_000_000, 1 << 22
 _SYMBOLS = b"#*$%&|<>"
 _EDGE = 1  # no word holds this character
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -214,7 +223,10 @@ class Model:
 
 def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
     """D1, D2, D3+ of modified Kneser-Ney from counts of counts."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+    return discounts_of(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not (n1 and n2):
         return 0.5, 0.75, 1.0
     y = n1 / (n1 + 2 * n2)
@@ -371,12 +383,14 @@ def fit(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES,
     found = arrow_map(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")), partial(_count, order), "gram array<int>, n long")
     counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
     levels = _levels(order, counts)
+    blocks = max(1, -(-sum(level.count() for level in levels) // max_entries))
+    # a single block has all orders, so the longest n-gram found says it all
+    value, kind = ("delta", partial(Block, order)) if blocks > 1 else ("logp", lambda low, high, *model: Model(order, *model))
     keyed = None
     for n, level in enumerate(levels, start=1):
-        k = arrow_map(level.select("gram", "delta", "mass"), partial(_keys, n), "level int, ctx long, key long, delta double, mass double")
+        k = arrow_map(level.select("gram", F.col(value).alias("delta"), "mass"), partial(_keys, n), "level int, ctx long, key long, delta double, mass double")
         keyed = k if keyed is None else keyed.union(k)
     keyed = written(keyed)
-    blocks = max(1, -(-keyed.count() // max_entries))
     vocabulary = levels[0].count() + 1
     mass = levels[0].select("mass").first()
     unseen = mass[0] - float(np.log(vocabulary)) if mass else -10.0
@@ -396,7 +410,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES,
             grams.append((key[at], delta[at].astype(np.float32)))
             hashes, first = np.unique(ctx[at], return_index=True)
             backoffs.append((hashes, weight[at][first].astype(np.float32)))
-        out.append(spark.sparkContext.broadcast(Block(order, low, high, grams, backoffs, unseen)))
+        out.append(spark.sparkContext.broadcast(kind(low, high, grams, backoffs, unseen)))
     return out
 
 
@@ -410,44 +424,182 @@ def _summed(blocks: list, words: list[str]) -> np.ndarray:
     return total
 
 
-def score(docs: DataFrame, blocks: list, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, base counts and score (mean nats per character; null without words)."""
+def counted_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, base counts and the text's name (null without words)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, float] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            read = [base_counts(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            if len(memo) > MEMO:
-                memo.clear()
-            fresh = list(set().union(*(r[0] for r in read)).difference(memo))
-            for i in range(0, len(fresh), WORDS):
-                some = fresh[i : i + WORDS]
-                memo.update(zip(some, _summed(blocks, [w.decode("utf-8", "replace").replace("\x01", " ") for w in some]).tolist(), strict=True))
-            for words, *counted in read:
-                # characters are those of the words and an end for each
-                nats = sum(map(memo.__getitem__, words)) / (counted[0] + len(words)) if words else None
-                for col, value in zip(out, (len(words), *counted, nats), strict=True):
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words, *counted = base_counts(text)
+                for col, value in zip(out, (len(words), *counted, text_name(text) if words else None), strict=True):
                     col.append(value)
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in out)], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "name"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, run, f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
+    return arrow_map(rows, run, f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, name long")
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1  # 0 stands before the first word
+        return n
+
+
+def text_name(text: bytes) -> int:
+    return int.from_bytes(hashlib.md5(text).digest()[:8], "little", signed=True)
+
+
+def _pairs(buckets: int, blocks: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's pairs of words, packed, in buckets by the first word's hash."""
+    numbers, names, read = _Numbers(), [], []
+
+    def packed() -> pa.RecordBatch:
+        words = list(numbers)
+        hashes = np.frombuffer(b"\0" * 8 + b"".join(hashlib.md5(w).digest()[:8] for w in words), np.uint64)
+        nats = np.zeros(len(words) + 1, np.float32)
+        for i in range(0, len(words), WORDS):
+            nats[i + 1 : i + 1 + WORDS] = _summed(blocks, [w.decode("utf-8", "replace").replace("\x01", " ") for w in words[i : i + WORDS]])
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        doc = np.repeat(np.arange(len(read)), [len(x) for x in read])
+        second = np.concatenate(read)
+        first = np.concatenate([np.concatenate([[0], x[:-1]]) for x in read])
+        size = len(hashes)
+        pair, inverse = np.unique(first * size + second, return_inverse=True)
+        row, n = np.unique(inverse * len(read) + doc, return_counts=True)
+        pair, doc = pair[row // len(read)], row % len(read)
+        first, second = pair // size, pair % size
+        by = np.argsort(bucket[first], kind="stable")
+        ends = np.searchsorted(bucket[first][by], np.arange(buckets + 1))
+        name, at, data = np.array(names, np.int64), [], []
+        for k in np.flatnonzero(np.diff(ends)):
+            part = by[ends[k] : ends[k + 1]]
+            columns = []
+            for ids, values in ((doc[part], (name,)), (first[part], (hashes,)), (second[part], (hashes, nats))):
+                own, index = np.unique(ids, return_inverse=True)
+                columns += [*(v[own] for v in values), index.astype(np.uint16 if len(own) < 65536 else np.uint32)]
+            at.append(k)
+            data.append(pickle.dumps([*columns, n[part].astype(np.uint8 if n[part].max() < 256 else np.int64)], protocol=5))
+        numbers.clear(), names.clear(), read.clear()
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    held = 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            words = space_words(text)
+            if words:
+                read.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                names.append(text_name(text))
+                held += len(words)
+                if held > TOKENS:
+                    yield packed()
+                    held = 0
+    if read:
+        yield packed()
+
+
+class Bucket:
+    """All pairs of some first words. Equal texts count as one."""
+
+    def __init__(self, parts: list[bytes]):
+        found = []
+        for part in parts:
+            name, doc, first, v, second, nats, w, n = pickle.loads(part)
+            found.append((name.view(np.uint64)[doc], first[v], second[w], nats[w], n.astype(np.int64)))
+        text, first, second, nats, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = mixed(mixed(first) * _P + second)
+        at = np.unique(mixed(pair * _P + text), return_index=True)[1]
+        self.text, self.first, self.nats, self.n = text[at], first[at], nats[at].astype(np.float64), n[at]
+        _, self.one, self.pair = np.unique(pair[at], return_index=True, return_inverse=True)
+        self.count = np.bincount(self.pair, weights=self.n)
+
+    def counts_of_counts(self) -> list[int]:
+        return [int((self.count == k).sum()) for k in (1, 2, 3, 4)]
+
+    def scores(self, discounts: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, and the nats of their words after these first words and as spelled alone.
+
+        A text is held against all others: its own pairs are taken out of the
+        counts, or it would be found predictable because it was read before.
+        """
+        cut = lambda c: np.array([0.0, *discounts])[np.minimum(c, 3).astype(np.int64)]
+        _, word = np.unique(self.first[self.one], return_inverse=True)
+        total, mass = np.bincount(word, weights=self.count), np.bincount(word, weights=cut(self.count))
+        word, count = word[self.pair], self.count[self.pair]
+        others = count - self.n
+        _, own = np.unique(mixed(mixed(self.first) * _P + self.text), return_inverse=True)
+        total = total[word] - np.bincount(own, weights=self.n)[own]
+        mass = mass[word] + np.bincount(own, weights=cut(others) - cut(count))[own]
+        with np.errstate(divide="ignore"):
+            known = np.log(np.maximum(others - cut(others), 0.0))
+            logp = np.logaddexp(known, np.log(np.maximum(mass, 1e-9)) - self.nats) - np.log(total)
+        logp = np.where(total > 0, logp, -self.nats)
+        texts, of = np.unique(self.text, return_inverse=True)
+        return texts, np.bincount(of, weights=-logp * self.n), np.bincount(of, weights=self.nats * self.n)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
+    last, parts = None, []
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != last and parts:
+                yield Bucket(parts)
+                parts = []
+            last = k
+            parts.append(data)
+    if parts:
+        yield Bucket(parts)
+
+
+def word_order(docs: DataFrame, blocks: list, *, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """text (its 64-bit name), nats of each word given the one before it, and nats of words as spelled.
+
+    Modified Kneser-Ney discounts over pairs of words; what they free goes to the
+    word as the character model spells it.
+    """
+    spark = docs.sparkSession
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    dealt = arrow_map(texts, partial(_pairs, buckets, blocks), "bucket int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # one shuffle for both passes: the rows as they were dealt, without a written copy
+    rows = dealt._jdf.queryExecution().toRdd()
+    dealt = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, dealt._jdf.schema(), False), spark)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in bucket.counts_of_counts()], names=["n1", "n2", "n3", "n4"])
+
+    sums = arrow_map(dealt, counted, "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()
+    discounts = discounts_of(*(n or 0 for n in sums))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            names, nats, spelled = bucket.scores(discounts)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(nats), pa.array(spelled)], names=["text", "nats", "spelled"])
+
+    return arrow_map(dealt, scored, "text long, nats double, spelled double").groupBy("text").agg(F.sum("nats").alias("nats"), F.sum("spelled").alias("spelled"))
 
 
 def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id_col, counts, base_failed, score, band low and high, kept."""
+    """One row per document: id_col, counts, base_failed, score, spelled, low, high and top, kept."""
     blocks = fit(docs, order=order, max_entries=max_entries, text_col=text_col)
-    scored = written(score(docs, blocks, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    scored = counted_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    ordered = word_order(docs, blocks, text_col=text_col).withColumnRenamed("text", "t")
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    scored = scored.withColumn("base_failed", base_failed)
+    # characters are those of the words and an end for each
+    each = F.col("word_chars") + F.col("n_words")
+    scored = scored.join(ordered, F.col("name") == F.col("t"), "left").withColumns({"base_failed": base_failed, "score": F.col("nats") / each, "spelled": F.col("spelled") / each})
+    scored = written(scored.drop("t", "nats", "name"))
     # a bounded summary of each language's scores, exact to a ten-thousandth of its rows
-    middle = scored.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("score", 0.5, 10_000).alias("mid"))
-    spread = scored.join(F.broadcast(middle), F.col("lang").eqNullSafe(F.col("l"))).groupBy(F.col("lang").alias("l")).agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("score") - F.col("mid")), 0.5, 10_000).alias("dev"))
-    reach = lambda width: F.greatest(F.col("dev") * 1.4826 * width, F.lit(floor))
-    bands = spread.select("l", (F.col("mid") - reach(below)).alias("low"), (F.col("mid") + reach(above)).alias("high"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    middle = scored.groupBy(F.col("lang").alias("l")).agg(median("spelled").alias("mid"), median("score").alias("mid2"))
+    off = scored.join(F.broadcast(middle), F.col("lang").eqNullSafe(F.col("l")))
+    spread = off.groupBy("l").agg(*(F.first(c).alias(c) for c in ("mid", "mid2")), median(F.abs(F.col("spelled") - F.col("mid"))).alias("dev"), median(F.abs(F.col("score") - F.col("mid2"))).alias("dev2"))
+    reach = lambda dev, width: F.greatest(F.col(dev) * 1.4826 * width, F.lit(floor))
+    bands = spread.select("l", (F.col("mid") - reach("dev", below)).alias("low"), (F.col("mid") + reach("dev", above)).alias("high"), (F.col("mid2") + reach("dev2", above)).alias("top"))
+    # a low score in word order means that the text stands elsewhere too, which is no fault of quality
+    inside = F.col("spelled").between(F.col("low"), F.col("high")) & (F.col("score") <= F.col("top"))
     return scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "low", "high", kept.alias("kept")
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "spelled", "low", "high", "top", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept")
     )

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +289,49 @@ def test_blocks_hold_every_ngram(spark):
     assert whole == pytest.approx(small, abs=1e-5)
 
 
+def test_word_order_is_judged(spark):
+    """Ordinary words in random order are rejected; spelled alone they are like the clean text."""
+    r = random.Random(5)
+    words = ["".join(r.choice(["ba", "ko", "ri", "mu", "te"]) for _ in range(3)) for _ in range(60)]
+    after = {w: r.sample(words, 3) for w in words}
+
+    def clean():
+        out = [r.choice(words)]
+        while len(out) < 120:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    texts = [clean() for _ in range(150)]
+    salad = [r.sample(t, len(t)) for t in texts[:3]]
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)] + [(1000 + i, " ".join(t), "en", "s") for i, t in enumerate(salad)]
+    got = {x.doc_id: x for x in perplexity.judge(frame(spark, rows)).collect()}
+    assert all(got[i].kept or got[i].base_failed for i in range(150))
+    for i in range(3):
+        x = got[1000 + i]
+        assert x.spelled == pytest.approx(got[i].spelled) and x.low <= x.spelled <= x.high and x.score > x.top and not x.kept
+
+    # every score against counts by brute force, in one bucket and in many
+    docs = frame(spark, rows[:40] + rows[:2] + [(7, None, "en", "s"), (8, " ", "en", "s")])
+    blocks = perplexity.fit(docs)
+    pairs = [Counter(zip([None, *t], t)) for t in texts[:40]]
+    count = sum(pairs, Counter())
+    d = perplexity.discounts_of(*(sum(c == k for c in count.values()) for k in (1, 2, 3, 4)))
+    spelled = dict(zip(words, perplexity._summed(blocks, words)))
+    expected = {}
+    for t, own in zip(texts[:40], pairs):
+        total, mass, nats = Counter(), Counter(), 0.0
+        others = {p: c - own[p] for p, c in count.items() if c > own[p]}
+        for (v, _), c in others.items():
+            total[v] += c
+            mass[v] += d[min(c, 3) - 1]
+        for (v, w), n in own.items():
+            c, p = others.get((v, w), 0), math.exp(-spelled[w])
+            nats -= n * math.log((c - d[min(c, 3) - 1] if c else 0) / total[v] + mass[v] / total[v] * p if total[v] else p)
+        expected[perplexity.text_name(" ".join(t).encode())] = nats
+    for size in (1 << 24, 2000):
+        assert {x.text: x.nats for x in perplexity.word_order(docs, blocks, bucket_bytes=size).collect()} == pytest.approx(expected, rel=1e-4)
+
+
 LICENSED = [
     "Released under the MIT License. mit license", "Licensed under CC BY-NC 4.0.", "apache", "Licensed under the APACHE License, version 2.0", None, "", "general public license " * 3, LONG + " mit license " + LONG,
     "x " * 30 + "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " + "y " * 30,
