@@ -1,60 +1,53 @@
 """Quality rules by n-gram perplexity (operator 8).
 
-Two models over the whole corpus, both with modified Kneser-Ney discounts. Characters:
-a word is read between boundary signs, each character from the ``order - 1`` before
-it; Spark adds up the counts, and blocks of arrays sorted by 64-bit hash hold log
-probabilities and backoff weights. Words: each word is read after the one before
-it, and what the pairs' discounts free goes to the word as characters spell it. A
-document's own pairs are left out of its counts, and equal texts count as one.
-
-``score`` is the mean negative log probability per character of words in their
-order, ``spelled`` that of characters alone. For each language a band around the median
-``spelled``, ``below`` and ``above`` robust deviations (median absolute deviation) wide,
-is kept, and of ``score`` what is not over ``top``, ``above`` deviations over its median. What
-lies outside is rejected, as are documents that fail the base
-rules (under 50 words, or more than half of the words in repeated 3-word
-windows).
+The model reads a text as the characters of its words with one space between
+them, each from the ``order - 1`` characters before it, word ends and the word
+before included. Spark counts the n-grams of all documents; continuation counts, modified
+Kneser-Ney discounts and backoff weights follow in Spark, and the result is kept in
+arrays sorted by 64-bit hash. No n-gram is pruned at any size.
+
+``score`` is the text's negative log probability over its characters that are neither
+space nor symbol (``[#*$%&|<>]``): strewn symbols cost much and count for nothing. For each language a
+band around the median, ``below`` and ``above`` robust deviations (median absolute
+deviation) wide, is kept; what lies outside is rejected, as are documents that fail the base
+rules (under 50 words, or more than half of the words in repeated 3-word windows).
 
 Defined results. A null text has no words, no score, and fails the base rules.
 A null language is a group of its own. An empty table gives an empty result.
-A band needs no least number of documents: with a deviation of 0, only equal
-scores are inside ``floor`` nats. Repeated rows are judged one by one; other
-columns are not looked at.
-
-Scale: n-gram counts are added up in each task first. Discounts, continuation counts
-and backoffs are computed in Spark, and no n-gram is pruned: more of them mean more
-blocks of about ``max_entries``, ranges of context hashes that are looked up one after another.
-No text is shuffled. Pairs of words grow with the corpus: each text's are
-shuffled once, packed, to buckets by the first word; time and disk are in proportion to
-the text. All pairs after one word are in one task.
+A band needs no least number of documents: with a deviation of 0, only scores
+within ``floor`` nats are inside. Texts of any length are read in pieces that
+overlap, whole. Repeated rows are judged one by one; other columns are not looked at.
+
+Scale: n-grams are added up in each task first, and what a task holds is bounded.
+Texts are never shuffled. More n-grams mean more blocks of about ``max_entries``,
+ranges of context hashes that are looked up one after another, one in memory at a time.
+A chunk of text asks for each distinct n-gram once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, space_words, written
 
-ORDER = 4
+#: Six characters of 21 bits are what two longs hold.
+ORDER, MOST = 5, 6
 #: n-grams of one block of the model, of all orders, about; 24 bytes each at most where it is used.
 MAX_ENTRIES = 1_500_000
 #: A band's reach below and above the median in robust deviations, and in nats at
-#: least. Junk lies on both sides, but clean texts with a stretch in another language only above.
-BELOW, ABOVE, FLOOR = 5.0, 6.5, 0.1
-#: Words counted in one go, and scored in one go.
-COUNTED, WORDS = 100_000, 50_000
-#: Words whose pairs one task packs in one go, and bytes of text whose pairs make a bucket.
-TOKENS, BUCKET_BYTES = 2_000_000, 1 << 22
+#: least. Rote text lies below: clean texts that others repeat do too, so the band is wider there.
+BELOW, ABOVE, FLOOR = 10.0, 6.0, 0.1
+#: Characters read in one go, and distinct n-grams that a counting task holds.
+CHUNK, HELD = 1_000_000, 1_500_000
 _SYMBOLS = b"#*$%&|<>"
-_EDGE = 1  # no word holds this character
+_EDGE = 1  # stands before a text
+_BITS = 21
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,13 +88,6 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     return int((np.cumsum(hit)[:-1] > 0).sum())
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of all words, each word between edges; and each one's word."""
-    joined = "\x01" + "\x01".join(words) + "\x01"
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return chars, np.cumsum(chars == _EDGE) - 1
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -109,124 +95,96 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def gram_hashes(chars: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams ending at each place, and of their first n - 1 characters.
-
-    An n-gram that would reach over the edge before the word is cut there: it
-    begins with the edge. Places of a first edge are left to the caller.
-    """
-    h = np.zeros(len(chars), np.uint64)
-    context = h
-    alive = np.ones(len(chars), bool)  # has not met the edge yet
-    back = []
-    for k in range(n):
-        c = np.concatenate([np.full(k, _EDGE, np.uint64), chars[: len(chars) - k]])
-        back.append(np.where(alive, c, np.uint64(0)))
-        if k:
-            alive = alive & (c != _EDGE)
-    for k in range(n - 1, 0, -1):
-        h = h * _P + back[k] + np.uint64(1)
-    context = mixed(h * _P + np.uint64(n))
-    h = mixed((h * _P + back[0] + np.uint64(1)) * _P + np.uint64(n))
-    return h, context
-
-
-def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the task's n-grams of the highest order, with what they reduce to.
-
-    Distinct n-grams are few, so they are gathered over the whole task, in
-    chunks of words that are counted first.
-    """
-    held: dict[bytes, int] = {}
-    parts: list[np.ndarray] = []
-
-    def fold() -> None:
-        if not held:
-            return
-        words = [w.decode("utf-8", "replace").replace("\x01", " ") for w in held]
-        times = np.fromiter(held.values(), np.int64, len(held))
-        held.clear()
-        chars, word = codes(words)
-        ends = np.flatnonzero(np.arange(len(chars)) > 0)
-        word_of = np.minimum(word, len(words) - 1)
-        # the edge that ends a word belongs to that word
-        word_of = np.where(chars == _EDGE, word - 1, word_of)[ends]
-        back, alive = [], np.ones(len(chars), bool)
-        for k in range(order):
-            c = np.concatenate([np.full(k, _EDGE, np.uint64), chars[: len(chars) - k]])
-            back.append(np.where(alive, c, np.uint64(0)))
-            if k:
-                alive = alive & (c != _EDGE)
-        grams = np.stack(back, axis=1)[ends]
-        key = np.zeros(len(grams), np.uint64)
-        for k in range(order - 1, -1, -1):
-            key = key * _P + grams[:, k] + np.uint64(1)
-        key = mixed(key)
-        distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        parts.append((distinct, grams[at].astype(np.uint32), np.bincount(inverse, weights=times[word_of]).astype(np.int64)))
-        if len(parts) > 8:
-            parts[:] = [_merged(parts)]
-
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            for w in space_words(text):
-                held[w] = held.get(w, 0) + 1
-            if len(held) > COUNTED:
-                fold()
-    fold()
+def pieces(words: list[bytes], order: int, chunk: int) -> Iterator[np.ndarray]:
+    """The text's characters, ``order - 1`` that are only context and then ``chunk`` to be read, again and again."""
+    text = b" ".join(words).decode("utf-8", "replace").replace(chr(_EDGE), " ")
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.concatenate([np.full(order - 1, _EDGE, np.uint64), codes])
+    for i in range(0, len(codes) - order + 1, chunk):
+        yield codes[i : i + chunk + order - 1]
+
+
+def chunks(texts: Iterable[list[bytes]], order: int, chunk: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(number of the text, piece) in lots of about ``chunk`` characters."""
+    owners, lot, held = [], [], 0
+    for i, words in enumerate(texts):
+        for piece in pieces(words, order, chunk) if words else ():
+            owners.append(i)
+            lot.append(piece)
+            held += len(piece)
+            if held >= chunk:
+                yield owners, lot
+                owners, lot, held = [], [], 0
+    if lot:
+        yield owners, lot
+
+
+def grams(lot: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of pieces, as two words of three characters, the newest lowest; which one ends at each place; how many places each piece has."""
+    codes = np.concatenate(lot)
+    sizes = np.array([len(x) for x in lot])
+    # the first order - 1 characters of a piece are context alone
+    places = np.ones(len(codes), bool)
+    for k in range(order - 1):
+        places[np.cumsum(sizes) - sizes + k] = False
+    ends = np.flatnonzero(places)
+    halves = []
+    for first in (0, 3):
+        h = np.zeros(len(ends), np.uint64)
+        for k in range(first, min(order, first + 3)):
+            h |= codes[ends - k] << np.uint64(_BITS * (k - first))
+        halves.append(h)
+    low, high = halves
+    _, at, inverse = np.unique(gram_hash(low, high, order), return_index=True, return_inverse=True)
+    return low[at], high[at], inverse, sizes - order + 1
+
+
+def gram_hash(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    return mixed(mixed(low * _P + np.uint64(n)) + high * _P)
+
+
+def first_chars(low, high, n: int) -> tuple:
+    """The ``n`` newest characters alone."""
+    mask = lambda k: (1 << (_BITS * max(0, min(3, k)))) - 1
+    return low & np.uint64(mask(n)), high & np.uint64(mask(n - 3))
+
+
+def before(low: np.ndarray, high: np.ndarray) -> tuple:
+    """All but the newest character."""
+    return (low >> np.uint64(_BITS)) | ((high & np.uint64((1 << _BITS) - 1)) << np.uint64(2 * _BITS)), high >> np.uint64(_BITS)
+
+
+def _count(order: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the task's n-grams of the highest order; emitted when too many are held."""
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        low, high, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        _, at, inverse = np.unique(gram_hash(low, high, order), return_index=True, return_inverse=True)
+        return low[at], high[at], np.bincount(inverse, weights=n).astype(np.int64)
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        low, high, n = merged()
+        by = np.lexsort((low, high))  # alike ones together take less room
+        parts.clear()
+        for i in range(0, len(by), 100_000):
+            some = by[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(low[some].view(np.int64)), pa.array(high[some].view(np.int64)), pa.array(n[some])], names=["low", "high", "n"])
+
+    texts = (space_words(t) for batch in batches for t in batch.column(0).cast(pa.binary()).to_pylist())
+    for _, lot in chunks(texts, order, chunk):
+        low, high, inverse, _ = grams(lot, order)
+        parts.append((low, high, np.bincount(inverse, minlength=len(low))))
+        if sum(len(p[0]) for p in parts) > HELD:
+            parts[:] = [merged()]
+            if len(parts[0][0]) > HELD // 2:
+                yield from packed()
     if parts:
-        _, grams, n = _merged(parts)
-        for i in range(0, len(n), 50_000):
-            part = grams[i : i + 50_000].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.list_(pa.int32())), pa.array(n[i : i + 50_000])], names=["gram", "n"])
-
-
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, grams, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, grams[at], np.bincount(inverse, weights=n).astype(np.int64)
-
-
-class Model:
-    """Sorted hash arrays: for each order log probabilities, for contexts backoff weights. The whole model in memory; ``fit`` makes blocks of it."""
-
-    def __init__(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], backoffs: list[tuple[np.ndarray, np.ndarray]], unseen: float):
-        self.order, self.grams, self.backoffs, self.unseen = order, grams, backoffs, unseen
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, values = table
-        if not len(hashes) or not len(keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        # each key once and in order, which the search goes through far faster
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
-        return (hashes[at] == distinct)[inverse], values[at][inverse]
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Negative log probability of each word, its end included."""
-        chars, word = codes(words)
-        total = np.zeros(len(chars))
-        left = np.arange(1, len(chars))  # places not yet decided; the first is an edge
-        for n in range(self.order, 0, -1):
-            h, context = gram_hashes(chars, n)
-            found, value = self._find(self.grams[n - 1], h[left])
-            total[left[found]] += value[found]
-            left = left[~found]
-            if n > 1 and len(left):
-                seen, weight = self._find(self.backoffs[n - 1], context[left])
-                total[left[seen]] += weight[seen]
-        total[left] += self.unseen
-        word_of = np.where(chars == _EDGE, word - 1, word)[1:]
-        return -np.bincount(word_of, weights=total[1:], minlength=len(words))
-
-
-def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """D1, D2, D3+ of modified Kneser-Ney from counts of counts."""
-    return discounts_of(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+        yield from packed()
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """D1, D2, D3+ of modified Kneser-Ney from counts of counts."""
     if not (n1 and n2):
         return 0.5, 0.75, 1.0
     y = n1 / (n1 + 2 * n2)
@@ -234,372 +192,180 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True))
 
 
-def estimate(order: int, grams: np.ndarray, counts: np.ndarray) -> Model:
-    """Interpolated modified Kneser-Ney from the highest order's n-grams.
+def _newest(n: int) -> list[Column]:
+    mask = lambda k: F.lit((1 << (_BITS * max(0, min(3, k)))) - 1)
+    return [F.col("low").bitwiseAND(mask(n)).alias("low"), F.col("high").bitwiseAND(mask(n - 3)).alias("high")]
+
+
+def _oldest(n: int) -> Column:
+    """Character n, counted from the newest."""
+    half, k = ("low", n - 1) if n <= 3 else ("high", n - 4)
+    return F.shiftrightunsigned(half, _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1))
 
-    ``grams`` holds characters backwards: column 0 is the predicted one, 0
-    stands for what lies before the edge.
-    """
-    tables, backoffs, levels = [], [], []
-    g, c = grams, counts.astype(np.float64)
-    for n in range(order, 0, -1):
-        levels.append((g, c))
-        if n > 1:
-            # continuation counts: in how many contexts the shorter one stands;
-            # one that begins with the edge has no longer context and keeps its count
-            shorter = g[:, : n - 1]
-            _, at, inverse = np.unique(_row_hash(shorter), return_index=True, return_inverse=True)
-            whole = (g[at][:, n - 2] == _EDGE) | (g[at][:, n - 2] == 0) if n > 2 else np.zeros(len(at), bool)
-            kinds, sums = np.bincount(inverse).astype(np.float64), np.bincount(inverse, weights=c)
-            g, c = shorter[at], np.where(whole, sums, kinds)
-    levels.reverse()
-    lower: dict = {}
-    vocabulary = max(1, len(levels[0][1])) + 1
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for n, (g, c) in enumerate(levels, start=1):
-        d1, d2, d3 = _discounts(c)
-        cut = np.where(c == 1, d1, np.where(c == 2, d2, d3))
-        context = _row_hash(g[:, 1:n]) if n > 1 else np.zeros(len(g), np.uint64)
-        keys, inverse = np.unique(context, return_inverse=True)
-        total, left = np.bincount(inverse, weights=c), np.bincount(inverse, weights=cut)
-        gamma = left / total
-        if n == 1:
-            low = np.full(len(g), 1.0 / vocabulary)
-        else:
-            at = np.searchsorted(below[0], _row_hash(g[:, : n - 1]))
-            low = below[1][at]
-        p = (c - cut) / total[inverse] + gamma[inverse] * low
-        rows = _row_hash(g[:, :n])
-        order_ = np.argsort(rows)
-        below = (rows[order_], p[order_])
-        h = _gram_key(g, n)
-        s = np.argsort(h)
-        tables.append((h[s], np.log(p[s]).astype(np.float32)))
-        if n == 1:
-            backoffs.append((np.empty(0, np.uint64), np.empty(0, np.float32)))
-            lower["unseen"] = float(np.log(gamma[0] / vocabulary)) if len(gamma) else -10.0
-        else:
-            first = np.unique(inverse, return_index=True)[1]
-            hc = _context_key(g[first], n)
-            s = np.argsort(hc)
-            backoffs.append((hc[s], np.log(gamma[s]).astype(np.float32)))
-    return Model(order, tables, backoffs, lower.get("unseen", -10.0))
-
-
-def _row_hash(g: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(g), np.uint64)
-    for k in range(g.shape[1]):
-        h = h * _P + g[:, k].astype(np.uint64) + np.uint64(1)
-    return mixed(h)
-
-
-def _context_hash(g: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(len(g), np.uint64)
-    for k in range(n - 1, 0, -1):
-        h = h * _P + g[:, k].astype(np.uint64) + np.uint64(1)
-    return h
-
-
-def _gram_key(g: np.ndarray, n: int) -> np.ndarray:
-    return mixed((_context_hash(g, n) * _P + g[:, 0].astype(np.uint64) + np.uint64(1)) * _P + np.uint64(n))
-
-
-def _context_key(g: np.ndarray, n: int) -> np.ndarray:
-    return mixed(_context_hash(g, n) * _P + np.uint64(n))
-
-
-def _levels(order: int, counts: DataFrame) -> list[DataFrame]:
-    """gram, logp, delta, mass of each order, shortest first: ``estimate`` in Spark.
+
+def _before() -> list[Column]:
+    carried = F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << _BITS) - 1)), 2 * _BITS)
+    return [F.shiftrightunsigned("low", _BITS).bitwiseOR(carried).alias("c_low"), F.shiftrightunsigned("high", _BITS).alias("c_high")]
+
+
+def levels(order: int, counts: DataFrame) -> tuple[list[DataFrame], int]:
+    """Interpolated modified Kneser-Ney: low, high, logp, delta, mass of each order, shortest first; and the number of characters known.
 
     ``delta`` is logp less the logp of the shorter n-gram that it stands for;
-    ``mass`` is the backoff weight of the n-gram's context.
+    ``mass`` is the log backoff weight of the n-gram's context. Discounts come from all counts.
     """
-    g, counted = counts.select("gram", F.col("n").cast("double").alias("c")), []
+    g, counted = counts.select("low", "high", F.col("n").cast("double").alias("c")), []
     for n in range(order, 0, -1):
         counted.append(g)
         if n > 1:
-            whole = F.element_at("gram", n - 1).isin(0, _EDGE) if n > 2 else F.lit(False)
-            shorter = g.groupBy(F.slice("gram", 1, n - 1).alias("gram")).agg(F.count("*").cast("double").alias("kinds"), F.sum("c").alias("sums"))
-            g = written(shorter.select("gram", F.when(whole, F.col("sums")).otherwise(F.col("kinds")).alias("c")))
-    vocabulary = max(1, counted[-1].count()) + 1
+            # continuation counts: in how many contexts the shorter one stands; one
+            # that begins with the edge has no longer context and keeps its count
+            shorter = g.groupBy(*_newest(n - 1)).agg(F.count("*").cast("double").alias("kinds"), F.sum("c").alias("sums"))
+            whole = _oldest(n - 1) == _EDGE if n > 2 else F.lit(False)
+            g = written(shorter.select("low", "high", F.when(whole, F.col("sums")).otherwise(F.col("kinds")).alias("c")))
+    known = counted[-1].count()
     out: list[DataFrame] = []
     for n, g in enumerate(reversed(counted), start=1):
         seen = {int(r.c): r.n for r in g.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-        d1, d2, d3 = _discounts(np.repeat([1, 2, 3, 4], [seen.get(k, 0) for k in (1, 2, 3, 4)]))
+        d1, d2, d3 = discounts_of(*(seen.get(k, 0) for k in (1, 2, 3, 4)))
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        g = g.select("gram", "c", cut.alias("cut"), F.slice("gram", 2, n - 1).alias("ctx") if n > 1 else F.array().cast("array<int>").alias("ctx"))
-        totals = g.groupBy(F.col("ctx").alias("of")).agg(F.sum("c").alias("total"), F.sum("cut").alias("left"))
-        g = g.join(totals, F.col("ctx") == F.col("of"))
-        low = F.lit(1.0 / vocabulary)
+        g = g.select("low", "high", "c", cut.alias("cut"), *_before(), *(x.alias(f"s_{x_}") for x, x_ in zip(_newest(n - 1), ("low", "high"), strict=True)))
+        totals = g.groupBy(F.col("c_low").alias("of_low"), F.col("c_high").alias("of_high")).agg(F.sum("c").alias("total"), F.sum("cut").alias("left"))
+        g = g.join(totals, (F.col("c_low") == F.col("of_low")) & (F.col("c_high") == F.col("of_high")))
+        low = F.lit(1.0 / (known + 1))
         if n > 1:
-            g = g.join(out[-1].select(F.col("gram").alias("short"), F.exp("logp").alias("low")), F.slice("gram", 1, n - 1) == F.col("short"))
-            low = F.col("low")
+            short = out[-1].select(F.col("low").alias("t_low"), F.col("high").alias("t_high"), F.exp("logp").alias("p"))
+            g = g.join(short, (F.col("s_low") == F.col("t_low")) & (F.col("s_high") == F.col("t_high")))
+            low = F.col("p")
         logp = F.log((F.col("c") - F.col("cut")) / F.col("total") + F.col("left") / F.col("total") * low)
-        g = g.select("gram", logp.alias("logp"), (logp - F.log(low) if n > 1 else logp).alias("delta"), F.log(F.col("left") / F.col("total")).alias("mass"))
-        out.append(written(g))
-    return out
+        out.append(written(g.select("low", "high", logp.alias("logp"), (logp - F.log(low) if n > 1 else logp).alias("delta"), F.log(F.col("left") / F.col("total")).alias("mass"))))
+    return out, known
 
 
 def _keys(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        g = batch.column(0).flatten().to_numpy().astype(np.uint32).reshape(batch.num_rows, n)
-        arrays = [pa.array(f(g, n).view(np.int64)) for f in (_context_key, _gram_key)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, n, np.int32)), *arrays, batch.column(1), batch.column(2)], names=["level", "ctx", "key", "delta", "mass"])
-
-
-class Block:
-    """The n-grams of a range of context hashes: what each order adds to the one below it."""
-
-    def __init__(self, order: int, low: int, high: int, grams: list, backoffs: list, unseen: float):
-        self.order, self.low, self.high, self.grams, self.backoffs, self.unseen = order, low, high, grams, backoffs, unseen
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """The block's share of each word's negative log probability; shares of all blocks add up."""
-        chars, word = codes(words)
-        total = np.zeros(len(chars))
-        for n in range(1, self.order + 1):
-            h, context = gram_hashes(chars, n)
-            # the first place is an edge
-            mine = np.flatnonzero((context >= np.uint64(self.low)) & (context <= np.uint64(self.high)) & (np.arange(len(chars)) > 0))
-            found, value = Model._find(self.grams[n - 1], h[mine])
-            total[mine[found]] += value[found]
-            mine = mine[~found]
-            if n == 1:
-                total[mine] += self.unseen
-            else:
-                seen, weight = Model._find(self.backoffs[n - 1], context[mine])
-                total[mine[seen]] += weight[seen]
-        word_of = np.where(chars == _EDGE, word - 1, word)[1:]
-        return -np.bincount(word_of, weights=total[1:], minlength=len(words))
+        low, high = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        key, ctx = gram_hash(low, high, n), gram_hash(*before(low, high), n)
+        # the upper half of the hashes comes last as signed numbers too
+        ctx ^= np.uint64(1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, n, np.int32)), pa.array(ctx.view(np.int64)), pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], names=["level", "ctx", "key", "delta", "mass"])
 
 
 def fit(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, text_col: str = "text") -> list:
-    """Count all words of all documents and estimate in Spark; broadcast blocks of about max_entries n-grams.
+    """Count all characters of all documents and estimate in Spark; broadcast blocks of about max_entries n-grams.
 
     Every counted n-gram is in one block. Blocks are ranges of context hashes, so
-    an n-gram, its context's backoff weight and all that follows the context are in one.
+    an n-gram, its context's backoff weight and all that follows the context are in
+    one. A block holds arrays alone: the bounds, for each order the sorted hashes and
+    values of n-grams and of contexts, and what an unknown character costs.
     """
+    if not 1 <= order <= MOST:
+        raise ValueError(f"order must be 1 to {MOST}")
     spark = docs.sparkSession
-    found = arrow_map(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")), partial(_count, order), "gram array<int>, n long")
-    counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = _levels(order, counts)
-    blocks = max(1, -(-sum(level.count() for level in levels) // max_entries))
-    # a single block has all orders, so the longest n-gram found says it all
-    value, kind = ("delta", partial(Block, order)) if blocks > 1 else ("logp", lambda low, high, *model: Model(order, *model))
+    found = arrow_map(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")), partial(_count, order, CHUNK), "low long, high long, n long")
+    counts = written(found.groupBy("low", "high").agg(F.sum("n").alias("n")))
+    tables, known = levels(order, counts)
+    blocks = max(1, -(-sum(level.count() for level in tables) // max_entries))
     keyed = None
-    for n, level in enumerate(levels, start=1):
-        k = arrow_map(level.select("gram", F.col(value).alias("delta"), "mass"), partial(_keys, n), "level int, ctx long, key long, delta double, mass double")
+    for n, level in enumerate(tables, start=1):
+        k = arrow_map(level.select("low", "high", "delta", "mass"), partial(_keys, n), "level int, ctx long, key long, delta double, mass double")
         keyed = k if keyed is None else keyed.union(k)
-    keyed = written(keyed)
-    vocabulary = levels[0].count() + 1
-    mass = levels[0].select("mass").first()
-    unseen = mass[0] - float(np.log(vocabulary)) if mass else -10.0
+    keyed = written(keyed.repartitionByRange("ctx").sortWithinPartitions("ctx"))  # a block's range is then few row groups
+    mass = tables[0].select("mass").first()
+    unseen = mass[0] - float(np.log(known + 1)) if mass else -10.0
     out = []
     for b in range(blocks):
-        low, high = b * 2**64 // blocks, (b + 1) * 2**64 // blocks - 1
-        # as signed numbers the upper half of the hashes comes first
-        signed = [x - 2**64 if x >= 2**63 else x for x in (low, high)]
-        within = (F.col("ctx") >= signed[0]) & (F.col("ctx") <= signed[1]) if signed[0] <= signed[1] else (F.col("ctx") >= signed[0]) | (F.col("ctx") <= signed[1])
-        rows = keyed.where(within).toArrow()
+        least, most = b * 2**64 // blocks - 2**63, (b + 1) * 2**64 // blocks - 1 - 2**63
+        rows = keyed.where(F.col("ctx").between(least, most)).toArrow()  # about max_entries of them, by the hash
         level, ctx, key = (rows.column(c).to_numpy() for c in ("level", "ctx", "key"))
-        ctx, key, delta, weight = ctx.view(np.uint64), key.view(np.uint64), rows.column("delta").to_numpy(), rows.column("mass").to_numpy()
-        grams, backoffs = [], []
+        ctx, key, delta, weight = ctx.view(np.uint64) ^ np.uint64(1 << 63), key.view(np.uint64), rows.column("delta").to_numpy(), rows.column("mass").to_numpy()
+        longer = []
         for n in range(1, order + 1):
             at = np.flatnonzero(level == n)
             at = at[np.argsort(key[at])]
-            grams.append((key[at], delta[at].astype(np.float32)))
             hashes, first = np.unique(ctx[at], return_index=True)
-            backoffs.append((hashes, weight[at][first].astype(np.float32)))
-        out.append(spark.sparkContext.broadcast(kind(low, high, grams, backoffs, unseen)))
+            longer.append((key[at], delta[at].astype(np.float32), hashes, weight[at][first].astype(np.float32)))
+        out.append(spark.sparkContext.broadcast((least + 2**63, most + 2**63, longer, unseen)))
     return out
 
 
-def _summed(blocks: list, words: list[str]) -> np.ndarray:
-    """Scores of words over all blocks; of several, one at a time is in memory."""
-    total = np.zeros(len(words))
+def _find(hashes: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hashes) or not len(keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return hashes[at] == keys, values[at]
+
+
+def log_probs(blocks: list, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Log probability of the newest character of each n-gram; of several blocks, one at a time is in memory."""
+    total = np.zeros(len(low))
+    asked = None
     for block in blocks:
-        total += block.value.word_scores(words)
+        least, most, longer, unseen = block.value
+        if asked is None:
+            asked = []
+            for n in range(1, len(longer) + 1):
+                part = first_chars(low, high, n)
+                key, ctx = gram_hash(*part, n), gram_hash(*before(*part), n)
+                by = np.argsort(key)  # a search for sorted keys is far faster
+                asked.append((by, key[by], ctx[by]))
+        for n, ((by, key, ctx), (keys, delta, contexts, mass)) in enumerate(zip(asked, longer, strict=True), start=1):
+            mine = (ctx >= np.uint64(least)) & (ctx <= np.uint64(most))
+            by, key, ctx = by[mine], key[mine], ctx[mine]
+            found, value = _find(keys, delta, key)
+            total[by[found]] += value[found]
+            by, ctx = by[~found], ctx[~found]
+            if n == 1:
+                total[by] += unseen
+            else:
+                known, value = _find(contexts, mass, ctx)
+                total[by[known]] += value[known]
         if len(blocks) > 1:
             block.__dict__.pop("_value", None)
     return total
 
 
-def counted_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, base counts and the text's name (null without words)."""
+def counted_rows(docs: DataFrame, blocks: list, *, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, base counts and the score (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                words, *counted = base_counts(text)
-                for col, value in zip(out, (len(words), *counted, text_name(text) if words else None), strict=True):
-                    col.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in out)], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "name"])
+            out: list[list] = [[], [], [], [], []]
+            nats = np.zeros(batch.num_rows)
+
+            def texts() -> Iterator[list[bytes]]:
+                for text in batch.column(2).cast(pa.binary()).to_pylist():
+                    words, *counted = base_counts(text)
+                    for col, value in zip(out, (len(words), *counted), strict=True):
+                        col.append(value)
+                    yield words
+
+            for owners, lot in chunks(texts(), order, CHUNK):
+                low, high, inverse, sizes = grams(lot, order)
+                nats -= np.bincount(np.repeat(owners, sizes), weights=log_probs(blocks, low, high)[inverse], minlength=len(nats))
+            n_words, chars, symbols = (np.array(c, np.int64) for c in out[:3])
+            score = pa.array(nats / np.maximum(1, chars - symbols), pa.float64(), mask=n_words == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in out), score], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, run, f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, name long")
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1  # 0 stands before the first word
-        return n
-
-
-def text_name(text: bytes) -> int:
-    return int.from_bytes(hashlib.md5(text).digest()[:8], "little", signed=True)
-
-
-def _pairs(buckets: int, blocks: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's pairs of words, packed, in buckets by the first word's hash."""
-    numbers, names, read = _Numbers(), [], []
-
-    def packed() -> pa.RecordBatch:
-        words = list(numbers)
-        hashes = np.frombuffer(b"\0" * 8 + b"".join(hashlib.md5(w).digest()[:8] for w in words), np.uint64)
-        nats = np.zeros(len(words) + 1, np.float32)
-        for i in range(0, len(words), WORDS):
-            nats[i + 1 : i + 1 + WORDS] = _summed(blocks, [w.decode("utf-8", "replace").replace("\x01", " ") for w in words[i : i + WORDS]])
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        doc = np.repeat(np.arange(len(read)), [len(x) for x in read])
-        second = np.concatenate(read)
-        first = np.concatenate([np.concatenate([[0], x[:-1]]) for x in read])
-        size = len(hashes)
-        pair, inverse = np.unique(first * size + second, return_inverse=True)
-        row, n = np.unique(inverse * len(read) + doc, return_counts=True)
-        pair, doc = pair[row // len(read)], row % len(read)
-        first, second = pair // size, pair % size
-        by = np.argsort(bucket[first], kind="stable")
-        ends = np.searchsorted(bucket[first][by], np.arange(buckets + 1))
-        name, at, data = np.array(names, np.int64), [], []
-        for k in np.flatnonzero(np.diff(ends)):
-            part = by[ends[k] : ends[k + 1]]
-            columns = []
-            for ids, values in ((doc[part], (name,)), (first[part], (hashes,)), (second[part], (hashes, nats))):
-                own, index = np.unique(ids, return_inverse=True)
-                columns += [*(v[own] for v in values), index.astype(np.uint16 if len(own) < 65536 else np.uint32)]
-            at.append(k)
-            data.append(pickle.dumps([*columns, n[part].astype(np.uint8 if n[part].max() < 256 else np.int64)], protocol=5))
-        numbers.clear(), names.clear(), read.clear()
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
-
-    held = 0
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            words = space_words(text)
-            if words:
-                read.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                names.append(text_name(text))
-                held += len(words)
-                if held > TOKENS:
-                    yield packed()
-                    held = 0
-    if read:
-        yield packed()
-
-
-class Bucket:
-    """All pairs of some first words. Equal texts count as one."""
-
-    def __init__(self, parts: list[bytes]):
-        found = []
-        for part in parts:
-            name, doc, first, v, second, nats, w, n = pickle.loads(part)
-            found.append((name.view(np.uint64)[doc], first[v], second[w], nats[w], n.astype(np.int64)))
-        text, first, second, nats, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        pair = mixed(mixed(first) * _P + second)
-        at = np.unique(mixed(pair * _P + text), return_index=True)[1]
-        self.text, self.first, self.nats, self.n = text[at], first[at], nats[at].astype(np.float64), n[at]
-        _, self.one, self.pair = np.unique(pair[at], return_index=True, return_inverse=True)
-        self.count = np.bincount(self.pair, weights=self.n)
-
-    def counts_of_counts(self) -> list[int]:
-        return [int((self.count == k).sum()) for k in (1, 2, 3, 4)]
-
-    def scores(self, discounts: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts, and the nats of their words after these first words and as spelled alone.
-
-        A text is held against all others: its own pairs are taken out of the
-        counts, or it would be found predictable because it was read before.
-        """
-        cut = lambda c: np.array([0.0, *discounts])[np.minimum(c, 3).astype(np.int64)]
-        _, word = np.unique(self.first[self.one], return_inverse=True)
-        total, mass = np.bincount(word, weights=self.count), np.bincount(word, weights=cut(self.count))
-        word, count = word[self.pair], self.count[self.pair]
-        others = count - self.n
-        _, own = np.unique(mixed(mixed(self.first) * _P + self.text), return_inverse=True)
-        total = total[word] - np.bincount(own, weights=self.n)[own]
-        mass = mass[word] + np.bincount(own, weights=cut(others) - cut(count))[own]
-        with np.errstate(divide="ignore"):
-            known = np.log(np.maximum(others - cut(others), 0.0))
-            logp = np.logaddexp(known, np.log(np.maximum(mass, 1e-9)) - self.nats) - np.log(total)
-        logp = np.where(total > 0, logp, -self.nats)
-        texts, of = np.unique(self.text, return_inverse=True)
-        return texts, np.bincount(of, weights=-logp * self.n), np.bincount(of, weights=self.nats * self.n)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
-    last, parts = None, []
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != last and parts:
-                yield Bucket(parts)
-                parts = []
-            last = k
-            parts.append(data)
-    if parts:
-        yield Bucket(parts)
-
-
-def word_order(docs: DataFrame, blocks: list, *, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """text (its 64-bit name), nats of each word given the one before it, and nats of words as spelled.
-
-    Modified Kneser-Ney discounts over pairs of words; what they free goes to the
-    word as the character model spells it.
-    """
-    spark = docs.sparkSession
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
-    buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
-    dealt = arrow_map(texts, partial(_pairs, buckets, blocks), "bucket int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    # one shuffle for both passes: the rows as they were dealt, without a written copy
-    rows = dealt._jdf.queryExecution().toRdd()
-    dealt = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, dealt._jdf.schema(), False), spark)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in bucket.counts_of_counts()], names=["n1", "n2", "n3", "n4"])
-
-    sums = arrow_map(dealt, counted, "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()
-    discounts = discounts_of(*(n or 0 for n in sums))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
-            names, nats, spelled = bucket.scores(discounts)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(nats), pa.array(spelled)], names=["text", "nats", "spelled"])
-
-    return arrow_map(dealt, scored, "text long, nats double, spelled double").groupBy("text").agg(F.sum("nats").alias("nats"), F.sum("spelled").alias("spelled"))
+    return arrow_map(rows, run, f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
 
 
 def judge(docs: DataFrame, *, order: int = ORDER, max_entries: int = MAX_ENTRIES, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id_col, counts, base_failed, score, spelled, low, high and top, kept."""
+    """One row per document: id_col, counts, base_failed, score, low and high, kept."""
     blocks = fit(docs, order=order, max_entries=max_entries, text_col=text_col)
-    scored = counted_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    ordered = word_order(docs, blocks, text_col=text_col).withColumnRenamed("text", "t")
+    scored = counted_rows(docs, blocks, order=order, id_col=id_col, text_col=text_col, lang_col=lang_col)
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    # characters are those of the words and an end for each
-    each = F.col("word_chars") + F.col("n_words")
-    scored = scored.join(ordered, F.col("name") == F.col("t"), "left").withColumns({"base_failed": base_failed, "score": F.col("nats") / each, "spelled": F.col("spelled") / each})
-    scored = written(scored.drop("t", "nats", "name"))
+    scored = written(scored.withColumn("base_failed", base_failed))
     # a bounded summary of each language's scores, exact to a ten-thousandth of its rows
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    middle = scored.groupBy(F.col("lang").alias("l")).agg(median("spelled").alias("mid"), median("score").alias("mid2"))
+    middle = scored.groupBy(F.col("lang").alias("l")).agg(median("score").alias("mid"))
     off = scored.join(F.broadcast(middle), F.col("lang").eqNullSafe(F.col("l")))
-    spread = off.groupBy("l").agg(*(F.first(c).alias(c) for c in ("mid", "mid2")), median(F.abs(F.col("spelled") - F.col("mid"))).alias("dev"), median(F.abs(F.col("score") - F.col("mid2"))).alias("dev2"))
-    reach = lambda dev, width: F.greatest(F.col(dev) * 1.4826 * width, F.lit(floor))
-    bands = spread.select("l", (F.col("mid") - reach("dev", below)).alias("low"), (F.col("mid") + reach("dev", above)).alias("high"), (F.col("mid2") + reach("dev2", above)).alias("top"))
-    # a low score in word order means that the text stands elsewhere too, which is no fault of quality
-    inside = F.col("spelled").between(F.col("low"), F.col("high")) & (F.col("score") <= F.col("top"))
+    spread = off.groupBy("l").agg(F.first("mid").alias("mid"), median(F.abs(F.col("score") - F.col("mid"))).alias("dev"))
+    reach = lambda width: F.greatest(F.col("dev") * 1.4826 * width, F.lit(floor))
+    bands = spread.select("l", (F.col("mid") - reach(below)).alias("low"), (F.col("mid") + reach(above)).alias("high"))
+    inside = F.col("score").between(F.col("low"), F.col("high"))
     return scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "spelled", "low", "high", "top", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept")
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "low", "high", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept")
     )
