@@ -1,9 +1,13 @@
 """Documents with odd rows, and brute-force versions of the operators."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+
+from rillgraph.llm import html
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, h string, id string, shard int, word string"
 
@@ -151,3 +155,209 @@ def quality(text):
     lines = [x for x in (text or "").split("\n") if x.split()]
     symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(hit)
+
+
+class _Tree(HTMLParser):
+    """The page as nested lists [tag, attributes, children]; tags are strings "+" among the children."""
+
+    walls = "table ul ol dl article main section div aside nav footer header form blockquote body".split()
+
+    def __init__(self):
+        super().__init__()
+        self.stack = [["html", {}, []]]
+
+    def handle_starttag(self, tag, attrs):
+        ends = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}.get(tag, [])
+        if tag in html._BLOCKS and tag not in ("html", "body", "head", "title", "option", "optgroup", "legend"):
+            ends = [*ends, "p"]
+        inner = len(self.stack)
+        while inner > 1 and self.stack[inner - 1][0] not in self.walls:
+            inner -= 1
+        at = [i for i in range(inner, len(self.stack)) if self.stack[i][0] in ends]
+        # of each kind the last one counts, of these the first
+        at = [max(i for i in at if self.stack[i][0] == e) for e in ends if any(self.stack[i][0] == e for i in at)]
+        if tag in html._VOID:
+            self.stack[-1][2].append([tag, dict(attrs), []])
+            return
+        if at:
+            del self.stack[min(at) :]
+        node = [tag, {k: v or "" for k, v in attrs}, []]
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        at = [i for i in range(1, len(self.stack)) if self.stack[i][0] == tag]
+        self.stack[-1][2].append("/" + tag)
+        if at:
+            del self.stack[at[-1] :]
+
+    def handle_data(self, data):
+        self.stack[-1][2].append((data,))
+
+
+def page_text(source):
+    """The text of a page, by whole trees and plain sums (no running state)."""
+    tree = _Tree()
+    tree.feed(source or "")
+    tree.close()
+    root = tree.stack[0]
+    lines, state = [], {"text": "", "tags": 0, "linked": 0}
+    chain = [root]
+
+    def flush():
+        line = re.sub(r"\s+", " ", state["text"]).strip()
+        if line:
+            lines.append({"text": line, "tags": state["tags"], "linked": state["linked"], "around": list(chain)})
+            state["tags"] = 0
+        if state["text"]:
+            state["linked"] = 0
+        state["text"] = ""
+
+    def mark(node):
+        tag, attrs, _ = node
+        if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return 0
+        m = max(html.named(attrs.get("class", "")), html.named(attrs.get("id", "")))
+        return min(m, 1) if tag == "p" else m
+
+    def walk(node, dropped, links, article):
+        for child in node[2]:
+            if isinstance(child, tuple):
+                if not dropped:
+                    state["text"] += child[0]
+                    state["linked"] += len(child[0].strip()) if links else 0
+            elif isinstance(child, str):
+                state["tags"] += not dropped
+                if child[1:] in html._BLOCKS:
+                    flush()
+            else:
+                tag, attrs, _ = child
+                if tag in html._BLOCKS:
+                    flush()
+                state["tags"] += not dropped
+                if tag == "br":
+                    state["text"] += "" if dropped else " "
+                    continue
+                if tag in html._VOID:
+                    continue
+                gone = tag in html._DROPPED or (tag == "header" and not article) or attrs.get("role") in html._ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+                gone = gone or bool(html._UNSEEN.search(attrs.get("style", ""))) or (tag not in html._BLOCKS and max(html.named(attrs.get("class", "")), html.named(attrs.get("id", ""))) > 1 and tag not in html._HEADINGS)
+                block = tag in html._BLOCKS and not dropped and not gone
+                if block:
+                    chain.append(child)
+                walk(child, dropped or gone, links or tag == "a", article or tag in ("article", "main"))
+                if tag in html._BLOCKS:
+                    flush()
+                if block:
+                    chain.pop()
+
+    walk(root, False, False, False)
+    flush()
+    if not lines:
+        return ""
+    nodes = []
+
+    def collect(node, around):
+        node_around = [*around, node]
+        nodes.append((node, node_around))
+        for child in node[2]:
+            if isinstance(child, list):
+                collect(child, node_around)
+
+    collect(root, [])
+    has = lambda line, node: any(x is node for x in line["around"])
+    size = lambda some: sum(len(x["text"]) for x in some)
+    within = lambda a, b: any(x is b for x in a)  # noqa: E731  b is around a, or it
+    blocks = [(n, around) for n, around in nodes if n[0] in html._BLOCKS or n is root]
+    comment = [n for n, _ in blocks if mark(n) == 3]
+    commented = lambda around: any(any(x is c for x in around) for c in comment)
+    mains = lambda n: any(m[0] == "main" and within(around, n) for m, around in blocks if visible(m, around))
+
+    def visible(node, around):
+        article = False
+        for x in around[1:]:
+            if x[0] in html._DROPPED or (x[0] == "header" and not article) or x[1].get("role") in html._ROLES or "hidden" in x[1] or x[1].get("aria-hidden") == "true" or html._UNSEEN.search(x[1].get("style", "")):
+                return False
+            if x[0] not in html._BLOCKS and x[0] not in html._HEADINGS and max(html.named(x[1].get("class", "")), html.named(x[1].get("id", ""))) > 1:
+                return False
+            article = article or x[0] in ("article", "main")
+        return True
+
+    blocks = [(n, around) for n, around in blocks if visible(n, around)]
+    comment = [n for n, _ in blocks if mark(n) == 3]
+    marked = [(n, around) for n, around in blocks if n[0] == "main" or (n[0] == "article" and not commented(around))] or [(n, around) for n, around in blocks if n[0] == "h1"]
+    real = [n for n in comment if not mains(n)]
+    others = size(x for x in lines if not any(has(x, c) for c in real))
+    wraps = lambda n: mains(n) or (mark(n) != 3 and 2 * size(x for x in lines if has(x, n)) > others and all(within(around, n) for _, around in marked))
+    gone = [n for n, _ in blocks if mark(n) >= 2 and not wraps(n)]
+    left = [x for x in lines if not any(has(x, n) for n in gone)]
+    if not left:
+        return ""
+    values = []
+    for x in left:
+        ratio = len(x["text"]) / max(1, x["tags"])
+        values.append(math.log1p(ratio * (1.5 if any(n[0] in ("article", "main") for n in x["around"]) else 1)))
+    smoothed = []
+    for i in range(len(values)):
+        weights = [(math.exp(-0.5 * d * d), i + d) for d in range(-3, 4) if 0 <= i + d < len(values)]
+        smoothed.append(round(sum(w * values[k] for w, k in weights) / sum(w for w, _ in weights), 9))
+    order = sorted(smoothed)
+    best, cut = 0, order[0]
+    for k in range(1, len(order)):
+        a, b = order[:k], order[k:]
+        between = round(len(a) * len(b) * (sum(b) / len(b) - sum(a) / len(a)) ** 2, 6)
+        if order[k] > order[k - 1] and between > best:
+            best, cut = between, order[k]
+    for x, v in zip(left, smoothed):
+        x["upper"] = v >= cut
+    high = lambda n: size(x for x in left if x["upper"] and has(x, n))
+    rest = lambda n: size(x for x in left if has(x, n))
+    top = root
+    for n, _ in blocks:
+        if n[0] in html._REGIONS and high(n) >= 2 / 3 * high(root):
+            top = n
+    up = {id(n): [a for a in around[:-1] if a[0] in html._BLOCKS or a is root] for n, around in blocks}
+    path = up[id(top)]
+    while path:
+        more, added = high(path[-1]) - high(top), rest(path[-1]) - rest(top)
+        if added and not (more >= 0.15 * high(top) and more >= 0.8 * added):
+            break
+        top = path[-1]
+        path = path[:-1]
+    line_of = [*path, top]
+    for wide in ("article", "main"):
+        found = [n for n in line_of if n[0] == wide]
+        if found:
+            top = found[0]
+            break
+    heads = [x for x in left if x["around"][-1][0] == "h1"]
+    out = []
+    for x in left:
+        around = x["around"]
+        menu = any(n is not top and n[0] in ("ul", "ol", "dl", "div", "table", "section", "p") and not any(a[0] in ("article", "main") for a in around[: k + 1]) and not high(n) and sum(y["linked"] for y in lines if has(y, n)) > 0.5 * rest(n) for k, n in enumerate(around))
+        weak = around[-1][0] not in html._HEADINGS and any(mark(n) == 1 and not high(n) and not mains(n) for n in around)
+        if (has(x, top) and not menu and not weak) or (len(heads) == 1 and x is heads[0]):
+            out.append(x["text"])
+    return "\n".join(out)
+
+
+def random_page(r):
+    """Nested elements with names, texts and links; some tags are never closed or closed twice."""
+    names = ["", ' class="ad"', ' class="content with-sidebar"', ' id="main"', ' class="comments"', ' class="related-work"', ' class="social"', ' class="entry-header"', ' role="navigation"', ' class="cookie-notice"', " hidden"]
+    words = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "&amp;", "sit\n", "é", "x<b>y</b>"]) for _ in range(n))
+
+    def part(depth):
+        kind = r.randrange(9)
+        if depth == 0 or kind < 3:
+            tag = r.choice(["p", "p", "p", "h2", "li", "h1"])
+            return f"<{tag}{r.choice(names) if r.random() < 0.2 else ''}>{words(r.choice([1, 3, 20, 60]))}" + r.choice([f"</{tag}>", f"</{tag}>", ""])
+        if kind == 3:
+            return "<ul>" + "".join(f"<li><a href=x>{words(1)}</a>" for _ in range(r.randrange(1, 5))) + r.choice(["</ul>", "</ul>", ""])
+        tag = r.choice(["div", "div", "section", "article", "main", "nav", "header", "footer", "aside", "table", "blockquote"])
+        inner = "".join(part(depth - 1) for _ in range(r.randrange(1, 4)))
+        if tag == "table":
+            inner = f"<tr><td>{inner}<td>{words(2)}"
+        return f"<{tag}{r.choice(names) if r.random() < 0.3 else ''}>{inner}" + r.choice([f"</{tag}>"] * 6 + ["", "</div>"])
+
+    body = "".join(part(3) for _ in range(r.randrange(1, 6)))
+    return f"<html><head><title>t</title><style>x</style></head><body>{body}</body></html>" if r.random() < 0.8 else body

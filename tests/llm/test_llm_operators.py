@@ -3,11 +3,12 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import LONG, SCHEMA, contaminated, dedup_lines, folded, frame, jaccard, odd_rows, quality, repeats, spaced
+from helpers import LONG, SCHEMA, contaminated, dedup_lines, folded, frame, jaccard, odd_rows, page_text, quality, random_page, repeats, spaced
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,6 +73,66 @@ def test_html(spark):
     assert html.extract(pages).count() == 4 and html.extract(pages.where("false")).count() == 0
 
 
+LINE = "A long paragraph of text that goes on and on. " * 4
+PARA = f"<p>{LINE}</p>"
+BODY = "\n".join([LINE.strip()] * 2)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><h1 class="entry-header">Title</h1>{PARA * 2}</article>', f"Title\n{BODY}"),
+        (f'<div class="content with-sidebar"><article>{PARA * 2}</article></div>', BODY),
+        (f'<div id="page" class="has-nav"><h1>T</h1>{PARA * 2}</div>', f"T\n{BODY}"),
+        (f'<div id="sidebar-right" class="sidebar"><h1>T</h1>{PARA * 2}</div>', f"T\n{BODY}"),
+        (f'<article>{PARA}<div class="related-work">{PARA}</div></article>', BODY),
+        (f'<article>{PARA}<p class="social">{LINE}</p></article>', BODY),
+        (f"<article>{PARA}<p>of <math><mi>y</mi></math></p><label>l</label><canvas>c</canvas><object>o</object></article>", f"{LINE.strip()}\nof y\nlco"),
+        (f"<div class=teasers><article><p>teaser</p></article></div><div id=body><h2>Short</h2>{PARA * 2}</div>", f"Short\n{BODY}"),
+        (f"<body><h2>short heading</h2>{PARA * 2}<footer>f</footer>", f"short heading\n{BODY}"),
+        (f'<body><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><div id=c>{PARA * 2}</div><div class="comments"><article class=comment>{PARA * 6}</article></div>', BODY),
+        (f'<body><div class="ad">{PARA * 3}</div><article><h1>T</h1><p>short</p></article>', "T\nshort"),
+        (f'<div><div class="part">{PARA}</div><div class="part">{PARA}</div></div>', BODY),
+    ],
+)
+def test_html_pages(page, text):
+    assert html.main_text(page) == text == page_text(page)
+
+
+def test_html_by_a_second_extractor():
+    r = random.Random(6)
+    pages = [random_page(r) for _ in range(250)]
+    got = [html.main_text(p) for p in pages]
+    assert got == [page_text(p) for p in pages] and sum(map(bool, got)) > 150
+    plain = [p.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div") for p in pages]
+    assert [html.main_text(p) for p in plain] == [page_text(p) for p in plain]
+
+
+def test_html_without_article_marks(spark):
+    """The method finds the same text where nothing marks it."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    for x in rows:
+        assert html.main_text(x.html.replace("<article>", "<div>").replace("</article>", "</div>")) == html.main_text(x.html) != ""
+
+
+def test_html_deep_pages():
+    n = 100_000
+    for page in ("<div>" * n + "x" + "</b>" * n, "<b>" * n + "<p>x" * n, "<ul><li>" * n + "y" * n, "<p>" + "<a>" * n + "z"):
+        began = time.perf_counter()
+        assert html.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
+@given(st.lists(st.floats(0, 1e3), min_size=1, max_size=30))
+@settings(max_examples=50, deadline=None)
+def test_threshold_splits_best(xs):
+    x = sorted(xs)
+    between = lambda k: round(k * (len(x) - k) * (sum(x[k:]) / (len(x) - k) - sum(x[:k]) / k) ** 2, 6)
+    cuts = [k for k in range(1, len(x)) if x[k] > x[k - 1]]
+    got = html.threshold(np.array(xs))
+    assert got in x and (got == x[0] or any(got == x[k] and between(k) >= 0.999 * max(map(between, cuts)) for k in cuts))
+
+
 @given(st.lists(st.floats(0, 1e3), min_size=1, max_size=40), st.floats(0.3, 3))
 @settings(max_examples=30, deadline=None)
 def test_smoothing_is_a_mean(xs, sigma):
@@ -260,7 +321,7 @@ def probabilities(texts, order):
 
 
 def packed(text, order):
-    low, high, inverse, _ = perplexity.grams([np.array([*map(ord, text)], np.uint64)], order)
+    low, high, inverse, _ = perplexity.grams([np.array([*map(ord, text)], np.uint32)], order)
     return low[inverse], high[inverse]
 
 
@@ -284,6 +345,7 @@ def test_quality_scores(spark, rows, monkeypatch, chunk, held, entries):
     """Scores, bands and verdicts by brute force, however small the pieces, the tasks' tables and the blocks: nothing is pruned."""
     monkeypatch.setattr(perplexity, "CHUNK", chunk)
     monkeypatch.setattr(perplexity, "HELD", held)
+    monkeypatch.setattr(perplexity, "WORD_BITS", 64 if chunk > 50 else 20)
     some = [r for r in rows if r[1] is None or len(r[1]) < 5000]
     some += [(500 + i, "".join(chr(0x4E00 + k * i % 50) for k in range(70)) + " \U0001f600 x" * (i % 3), "ja", "s") for i in range(8)]
     p, spelt = probabilities([r[1] for r in some], perplexity.ORDER)
