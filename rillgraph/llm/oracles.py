@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BLOCK_WORDS, PERCENT, PHRASES, TEMPLATES, needed, template_sets
+from .licenses import PERCENT, PHRASES, SLACK, TEMPLATES, block_words, needed, template_sets
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOLDED = f"coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
@@ -44,18 +44,24 @@ def _listed(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+# Every window of words at once: a word of a template counts from the first window that reaches it, or from after its
+# last place, to the window that begins with it; the running sum is the number of distinct words.
 def licenses_sql() -> str:
     phrases = ", ".join(f"({_listed(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {_listed(sorted(w.decode() for w in s))}, {needed(len(s), PERCENT)})" for label, s in template_sets(TEMPLATES))
+    templates = ", ".join(f"({t}, '{label}', {_listed(w.decode() for w in words)}, {needed(len(words), PERCENT)}, {block_words(n, SLACK)})" for t, (label, words, n) in enumerate(template_sets(TEMPLATES)))
     return f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
 p AS (SELECT * FROM (VALUES {phrases}) v(phrase, label)),
-t AS (SELECT * FROM (VALUES {templates}) v(label, words, least)),
+t AS (SELECT * FROM (VALUES {templates}) v(t, label, words, least, size)),
 b AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, phrase, label, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p WHERE len(w) >= len(phrase) AND list_contains(w, phrase[1])) WHERE list_slice(w, i, i + len(phrase) - 1) = phrase),
 bs AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_distinct(list(label)) AS labels FROM b GROUP BY doc_id),
-k AS (SELECT doc_id, list_distinct(list_slice(w, i + 1, i + {BLOCK_WORDS})) AS block FROM (SELECT doc_id, w, unnest(range(0, len(w), {max(1, BLOCK_WORDS // 2)})) AS i FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(block, words)) AS n, len(words) AS size, least FROM k, t WHERE len(block) >= least),
-ms AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(n / size) AS score FROM m WHERE n >= least GROUP BY doc_id)
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+tw AS (SELECT t, size, unnest(words) AS word FROM t),
+h AS (SELECT doc_id, t, size, i, lag(i) OVER (PARTITION BY doc_id, t, o.word ORDER BY i) AS j FROM o JOIN tw ON o.word = tw.word),
+e AS (SELECT doc_id, t, greatest(coalesce(j, i - size) + 1, i - size + 1) AS s, 1 AS x FROM h UNION ALL SELECT doc_id, t, i + 1, -1 FROM h),
+r AS (SELECT doc_id, t, sum(x) OVER (PARTITION BY doc_id, t ORDER BY s) AS n FROM e),
+m AS (SELECT doc_id, t, max(n) AS n FROM r GROUP BY doc_id, t),
+ms AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(n / len(words)) AS score FROM m JOIN t ON m.t = t.t WHERE n >= least GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(bs.labels), ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(ms.labels, [])))), ',') AS labels,
