@@ -44,7 +44,9 @@ MAX_ENTRIES = 1_500_000
 #: least. Rote text lies below: clean texts that others repeat do too, so the band is wider there.
 BELOW, ABOVE, FLOOR = 10.0, 6.0, 0.1
 #: Characters read in one go, and distinct n-grams that a counting task holds.
-CHUNK, HELD = 1_000_000, 1_500_000
+CHUNK, HELD = 2_000_000, 1_500_000
+#: Bits that an n-gram of numbered characters may take.
+WORD_BITS = 64
 _SYMBOLS = b"#*$%&|<>"
 _EDGE = 1  # stands before a text
 _BITS = 21
@@ -98,8 +100,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def pieces(words: list[bytes], order: int, chunk: int) -> Iterator[np.ndarray]:
     """The text's characters, ``order - 1`` that are only context and then ``chunk`` to be read, again and again."""
     text = b" ".join(words).decode("utf-8", "replace").replace(chr(_EDGE), " ")
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    codes = np.concatenate([np.full(order - 1, _EDGE, np.uint64), codes])
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = np.concatenate([np.full(order - 1, _EDGE, np.uint32), codes])
     for i in range(0, len(codes) - order + 1, chunk):
         yield codes[i : i + chunk + order - 1]
 
@@ -120,7 +122,11 @@ def chunks(texts: Iterable[list[bytes]], order: int, chunk: int) -> Iterator[tup
 
 
 def grams(lot: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of pieces, as two words of three characters, the newest lowest; which one ends at each place; how many places each piece has."""
+    """Distinct n-grams of pieces, as two words of three characters, the newest lowest; which one ends at each place; how many places each piece has.
+
+    A lot has few kinds of characters, so numbers for these make an n-gram one
+    integer, which sorts fastest; where they are too many, a hash stands for it.
+    """
     codes = np.concatenate(lot)
     sizes = np.array([len(x) for x in lot])
     # the first order - 1 characters of a piece are context alone
@@ -128,15 +134,34 @@ def grams(lot: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np
     for k in range(order - 1):
         places[np.cumsum(sizes) - sizes + k] = False
     ends = np.flatnonzero(places)
-    halves = []
+    kinds = np.flatnonzero(np.bincount(codes, minlength=2))
+    bits = int(len(kinds) - 1).bit_length()
+    if bits * order <= WORD_BITS:
+        number = np.zeros(kinds[-1] + 1, np.uint64)
+        number[kinds] = np.arange(len(kinds), dtype=np.uint64)
+        numbered = number[codes]
+        key = np.zeros(len(codes), np.uint64)
+        for k in range(order):
+            key[k:] |= numbered[: len(codes) - k] << np.uint64(bits * k)
+        key, inverse = np.unique(key[ends], return_inverse=True)
+        chars = [kinds[((key >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64) for k in range(order)]
+        low, high = _halves(chars)
+    else:
+        low, high = _halves([codes[ends - k].astype(np.uint64) for k in range(order)])
+        _, at, inverse = np.unique(gram_hash(low, high, order), return_index=True, return_inverse=True)
+        low, high = low[at], high[at]
+    return low, high, inverse, sizes - order + 1
+
+
+def _halves(chars: list[np.ndarray]) -> list[np.ndarray]:
+    """Characters, the newest first, in two words."""
+    out = []
     for first in (0, 3):
-        h = np.zeros(len(ends), np.uint64)
-        for k in range(first, min(order, first + 3)):
-            h |= codes[ends - k] << np.uint64(_BITS * (k - first))
-        halves.append(h)
-    low, high = halves
-    _, at, inverse = np.unique(gram_hash(low, high, order), return_index=True, return_inverse=True)
-    return low[at], high[at], inverse, sizes - order + 1
+        h = np.zeros(len(chars[0]), np.uint64)
+        for k, c in enumerate(chars[first : first + 3]):
+            h |= c << np.uint64(_BITS * k)
+        out.append(h)
+    return out
 
 
 def gram_hash(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
@@ -160,7 +185,9 @@ def _count(order: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 
     def merged() -> tuple[np.ndarray, ...]:
         low, high, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        _, at, inverse = np.unique(gram_hash(low, high, order), return_index=True, return_inverse=True)
+        _, inverse = np.unique(gram_hash(low, high, order), return_inverse=True)
+        at = np.empty(int(inverse.max(initial=-1)) + 1, np.int64)
+        at[inverse] = np.arange(len(inverse))
         return low[at], high[at], np.bincount(inverse, weights=n).astype(np.int64)
 
     def packed() -> Iterator[pa.RecordBatch]:
