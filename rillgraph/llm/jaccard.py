@@ -15,36 +15,43 @@ stands for all such pairs. Every other linked pair shares at least
 over their rarest elements. (3) Links between families come from an inverted index
 over prefixes: the n - ceil(percent * n) + 1 first elements of a set in a global
 order that puts frequent elements last. Lists of one family alone are skipped
-whole; in the others, positions and sizes skip entries that can't reach the
-required overlap, bucket counts rule out most of what remains, and the rest is verified on
-the whole texts.
+whole. Longer lists are kept in blocks by size and by position: a set of n elements that has the
+list's element at position p can link with no set of over (n - p) (100 + percent) / percent - n elements,
+so a block holds entries of one band of sizes whose positions let them reach the same bands, and an
+entry asks only for the blocks that it can reach and that can reach it. What meets is held against the exact
+bound, bucket counts rule out most of what remains, and the rest is verified on the whole texts.
 
 Defined results. Null or empty texts, and texts of white space, have an empty set, link with
 nothing and are their own component. Fewer than four words make one element.
 Rows that repeat an id are one node. A null id links with nothing and has a
-null component. Other columns are not looked at.
+null component. Ids are integers, or what casts to them. Other columns are not looked at.
 
 Scale: no pairs inside a class or of near copies of one text are listed; heavy elements stay
-out of prefixes, so lists are short unless a set has hardly anything else.
-Large families are dealt in slots. Broadcast: the heavy elements, at most MAX_HEAVY, and tables up to a checked count.
+out of prefixes at any size of the table, so lists are short unless a set has hardly anything else;
+blocks of over BLOCK entries are dealt in parts of that size. Links settle in at most 60 rounds, enough for
+chains of 2^30 documents and more; beyond that the operator raises an error rather than return unsettled groups.
+Large families are dealt in slots. Broadcast: the heavy elements up to MAX_HEAVY of them (a shuffle beyond), and tables up to a checked count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, space_words, written
+from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, space_words, text_key, written
 from .components import components
 
-#: An element in more prefixes than HEAVY goes last; the bound rises so that at most MAX_HEAVY elements can exceed it.
+#: An element in more prefixes than HEAVY goes last; up to MAX_HEAVY such elements are broadcast.
 HEAVY, MAX_HEAVY = 64, 400_000
+#: Lists of more entries are kept in blocks; bands that sizes of linked sets span; entries of a block dealt together.
+SHORT, BANDS, BLOCK = 16, 2, 1024
 #: Min-hashes by which similar sets meet; members that a reference is made from; members dealt together.
 MEETINGS, SAMPLE, SLOT = 4, 32, 512
 #: Members that have less than this percentage of Jaccard with the reference leave their family.
@@ -149,6 +156,17 @@ def _prefixes(heavy, percent: int):
     return run
 
 
+def _ordered(heads: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """``_prefixes`` of (id, n, head) as a shuffle, for more heavy elements than are broadcast."""
+    least = -(1 << 63)  # signed numbers sort like the unsigned ones after this flip
+    rows = heads.select("id", "n", F.xxhash64("head").alias("h"), F.explode("head").alias("t")).join(heavy.select(F.col("t").alias("t2")), F.col("t") == F.col("t2"), "left")
+    rows = rows.groupBy("id", "n", "h").agg(F.sort_array(F.collect_set(F.struct(F.col("t2").isNotNull().alias("last"), F.col("t").bitwiseXOR(F.lit(least)).alias("u")))).alias("s"))
+    p = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    whole = (F.size("s") == F.col("n")) | (F.size(F.filter("s", lambda x: ~x["last"])) >= p)
+    tokens = F.transform(F.slice("s", F.lit(1), F.when(whole, p).otherwise(0)), lambda x: x["u"].bitwiseXOR(F.lit(least)))
+    return rows.select("id", "n", tokens.alias("tokens"), (~whole).alias("deep"))
+
+
 def _whole_heads(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -303,6 +321,42 @@ def _family_links(kin: DataFrame, percent: int) -> DataFrame:
     return star.union(checked.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Bands of sizes; linked sets are at most BANDS of them apart."""
+    return F.floor(F.log(n.cast("double")) * BANDS / (1e-9 - math.log(percent / 100))).cast("int") if percent < 100 else n.cast("int")
+
+
+def met(kept: DataFrame, percent: int) -> DataFrame:
+    """Entries (id, n, f, p, t, with m, their list's length) that meet in a block; the second set is not the larger.
+
+    Block: the element, the band of the second set's size, and how many bands up
+    its position lets it reach. Short lists are one block.
+    """
+    most = lambda: F.floor((F.col("n") - F.col("p")) * (100 + percent) / F.lit(percent)) - F.col("n")
+    long, own = F.col("m") > SHORT, _band(F.col("n"), percent)
+    top = _band(F.greatest(most(), F.lit(1)), percent)
+    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    one = lambda *of: F.struct(*(F.lit(x).cast("int").alias(k) if isinstance(x, int) else x.cast("int").alias(k) for k, x in zip(("band", "up", "part"), of, strict=True)))
+    second = kept.where(f"p <= n - ceil({2 * percent} * n / {100 + percent})").select(
+        *[F.col(c).alias(c + "2") for c in ("id", "n", "f", "p", "t")],
+        F.when(long, one(own, F.greatest(F.lit(0), F.least(top - own, F.lit(BANDS))), F.pmod(F.xxhash64("id"), parts))).otherwise(one(-1, 0, 0)).alias("block"),
+    )
+    # bands below that the sizes allow, no higher than the own position allows; of each, the blocks that reach up to here
+    asked = [(down, up) for down in range(BANDS + 1) for up in range(down, BANDS + 1)]
+    blocks = F.filter(F.array(*(F.when(own - down <= top, F.struct((own - down).alias("band"), F.lit(up).alias("up"))) for down, up in asked)), lambda x: x.isNotNull())
+    blocks = F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(0), parts - 1), lambda part: one(x["band"], x["up"], part))))
+    first = kept.withColumn("ask", F.explode(F.when(long, blocks).otherwise(F.array(one(-1, 0, 0)))))
+    same = (F.col("t") == F.col("t2")) & (F.col("ask.band") == F.col("block.band")) & (F.col("ask.up") == F.col("block.up")) & (F.col("ask.part") == F.col("block.part"))
+    return first.join(second, same)
+
+
+def reachable(percent: int) -> Column:
+    """Whether two entries' sets, of different families and the second not the larger, can still overlap enough."""
+    need = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent))
+    ordered = (F.col("f") != F.col("f2")) & ((F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") != F.col("id2"))))
+    return ordered & (F.col("n2") * 100 >= F.col("n") * percent) & (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need)
+
+
 def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -320,30 +374,23 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     within = _family_links(kin.where("diff IS NOT NULL"), percent)
 
     # Heavy elements go last.
-    total = first.agg(F.sum(F.size("head"))).first()[0] or 0
-    bound = max(HEAVY, total // MAX_HEAVY)
-    counts = first.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") > bound)
-    heavy = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in counts.select("t").toLocalIterator()), np.int64)))
-    cut = written(arrow_map(first.select("id", "n", "head"), _prefixes(heavy, percent), "id long, n long, tokens array<long>, deep boolean"))
+    heavy = written(first.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") > HEAVY).select("t"))
+    if heavy.count() <= MAX_HEAVY:
+        listed = spark.sparkContext.broadcast(np.sort(heavy.toArrow().column("t").to_numpy()))
+        prefixes = lambda heads: arrow_map(heads, _prefixes(listed, percent), "id long, n long, tokens array<long>, deep boolean")
+    else:
+        prefixes = lambda heads: _ordered(heads, heavy, percent)
+    cut = written(prefixes(first.select("id", "n", "head")))
     deep = written(cut.where("deep").select("id").distinct())
-    again = arrow_map(arrow_map(by_ids(docs, deep, "left_semi", "id"), _whole_heads(size), "id long, n long, head array<long>"), _prefixes(heavy, percent), cut.schema)
+    again = prefixes(arrow_map(by_ids(docs, deep, "left_semi", "id"), _whole_heads(size), "id long, n long, head array<long>"))
     label = kin.where("diff IS NOT NULL").select(F.col("id").alias("i"), "f")
     entries = cut.where("NOT deep").union(again).join(label, F.col("id") == F.col("i"), "left")
     entries = written(entries.select("id", "n", "f", "tokens")).select("id", "n", F.coalesce("f", -1 - F.col("id")).alias("f"), F.posexplode("tokens").alias("p", "t"))
 
     # Lists that hold different families, and in them what can still overlap enough.
-    live = written(entries.groupBy("t").agg(F.min("f").alias("f1"), F.max("f").alias("f2")).where("f1 <> f2").select(F.col("t").alias("live")))
-    kept = written(entries.join(live, F.col("t") == F.col("live"), "left_semi"))
-    y = kept.select(*[F.col(c).alias(c + "2") for c in ("id", "n", "f", "p", "t")]).where(f"p2 <= n2 - ceil({2 * percent} * n2 / {100 + percent})")
-    need = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent))
-    pairs = (
-        kept.join(y, F.col("t") == F.col("t2"))
-        .where((F.col("f") != F.col("f2")) & ((F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") != F.col("id2")))))
-        .where(F.col("n2") * 100 >= F.col("n") * percent)
-        .where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need)
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        .distinct()
-    )
+    live = written(entries.groupBy("t").agg(F.min("f").alias("f1"), F.max("f").alias("f2"), F.count(F.lit(1)).alias("m")).where("f1 <> f2").select(F.col("t").alias("live"), "m"))
+    kept = written(entries.join(live, F.col("t") == F.col("live")).drop("live"))
+    pairs = met(kept, percent).where(reachable(percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     counts_of = lambda c: first.select(F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
     pairs = pairs.join(counts_of("a"), F.col("a") == F.col("id_a")).join(counts_of("b"), F.col("b") == F.col("id_b")).select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
     across = _linked(docs, written(arrow_map(pairs, _possible(percent), "a long, b long").distinct()), size, percent)
@@ -353,7 +400,24 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
 
 
 def keep_one(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without all but the first of each group."""
-    groups = jaccard_groups(docs, size=size, percent=percent, id_col=id_col, text_col=text_col)
-    gone = written(groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct())
-    return by_ids(docs, gone, "left_anti", id_col)
+    """The documents, all columns, without all but one of each group: the smallest id, if an id of the group stands for one row alone (and ids stay under 2^61).
+
+    Rows whose id is null or repeated are told apart by their texts: of rows
+    with equal texts one stays, the others count as documents of their own.
+    """
+    columns = docs.columns
+    number = docs.withColumn("__n", F.col(id_col).cast("long"))
+    several = written(number.groupBy("__n").agg(F.count(F.lit(1)).alias("m")).where("m > 1 OR __n IS NULL").select(F.col("__n").alias("id")))
+    if not several.isEmpty():
+        some = several.select(F.col("id").alias("__id"))
+        double = number.join(some, F.col("__n").eqNullSafe(F.col("__id")), "left_semi")
+        words = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        double = double.where(words).withColumn("__k", text_key(text_col)).dropDuplicates(["__k"]).drop("__k").union(double.where(~words))
+        # numbers of their own, after all others or before them; written, so that they stay
+        least, most = (x or 0 for x in number.agg(F.min("__n"), F.max("__n")).first())
+        own = F.monotonically_increasing_id()
+        fresh = written(double.withColumn("__n", own + F.lit(most + 1) if most < 1 << 61 else F.lit(least - 1) - own))
+        number = number.join(some.where("__id IS NOT NULL"), F.col("__n") == F.col("__id"), "left_anti").where("__n IS NOT NULL").unionByName(fresh)
+    groups = jaccard_groups(number, size=size, percent=percent, id_col="__n", text_col=text_col)
+    gone = written(groups.where(F.col("component_id") != F.col("__n")).select(F.col("__n").alias("id")).distinct())
+    return by_ids(number, gone, "left_anti", "__n").select(*columns)

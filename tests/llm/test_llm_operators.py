@@ -467,17 +467,53 @@ def test_jaccard(docs, rows, none):
     expected = jaccard(rows)
     for x in got:
         assert x.component_id == (None if x.doc_id is None else expected[x.doc_id]), x
-    kept = [r.doc_id for r in jac.keep_one(docs).collect() if r.doc_id is not None]
-    assert set(kept) == {expected[i] for i in expected}
     assert jac.jaccard_groups(none).count() == 0
 
 
+def test_jaccard_keeps_one(spark, docs, rows, none):
+    kept = jac.keep_one(docs)
+    assert kept.columns == docs.columns and jac.keep_one(none).count() == 0
+    kept = kept.collect()
+    expected = jaccard([(i, *r[1:]) for i, r in enumerate(rows)])
+    key = lambda x: (x[0], x[1])
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(expected[i], []).append(key(r))
+    left = Counter(key(x) for x in kept)
+    assert len(kept) == len(groups) and sum(left.values()) == len(kept)
+    ids = Counter(r[0] for r in rows)
+    for group in groups.values():
+        alone = [k for k in group if k[0] is not None and ids[k[0]] == 1]
+        assert any(left[k] for k in ([min(alone)] if alone else group)), group
+    # an id with two texts: the copy goes, the other text stays
+    twice = [(1, LONG[:900], "en", "s"), (2, LONG[:900], "en", "s"), (2, "another text of its own", "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s")]
+    assert sorted(((x.doc_id, x.text) for x in jac.keep_one(frame(spark, twice)).collect()), key=str) == sorted([twice[0][:2], twice[2][:2], twice[3][:2]], key=str)
+    assert sorted(x.text[:4] for x in jac.keep_one(frame(spark, [*twice, (2**63 - 1, "last", "en", "s")])).collect()) == ["anot", "last", "no i", "w0 w"]
+
+
+def test_jaccard_blocks_skip_and_lose_nothing(spark):
+    """Of one list's pairs, blocks leave those that positions and sizes allow, and some of the others are never made."""
+    r = random.Random(9)
+    rows = [(i, n, i, r.randrange(n - (85 * n + 99) // 100 + 1), t, 400) for i in range(400) for n in [r.randrange(20, 400)] for t in [1]]
+    kept = spark.createDataFrame(rows, "id long, n long, f long, p int, t long, m long")
+    allowed = {(x.id, x.id2) for x in jac.met(kept, 85).where(jac.reachable(85)).collect()}
+    pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] >= b[1] and 100 * b[1] >= 85 * a[1] and min(a[1] - a[3], b[1] - b[3]) * 185 >= 85 * (a[1] + b[1]) and b[3] <= b[1] - -(-170 * b[1] // 185)}
+    assert allowed == pairs and len(pairs) > 100
+    made = jac.met(kept, 85).count()
+    assert made < len(rows) ** 2 / 10
+    parts = {(x.id, x.id2) for x in jac.met(kept.withColumn("m", F.lit(5000)), 85).where(jac.reachable(85)).collect()}
+    assert parts == pairs
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_jaccard_near_threshold(spark, seed, monkeypatch):
     """Families of copies with all degrees of change, and few enough heavy elements to need whole sets."""
     monkeypatch.setattr(jac, "HEAVY", 3)
     if seed:
         nothing_small(monkeypatch)
+        monkeypatch.setattr(jac, "MAX_HEAVY", 0)
+        monkeypatch.setattr(jac, "SHORT", 0)
+        monkeypatch.setattr(jac, "BLOCK", 2)
     r = random.Random(seed)
     rows, i = [], 0
     for _ in range(5):
