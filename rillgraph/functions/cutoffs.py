@@ -7,6 +7,7 @@ import struct
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ def changed_column(kind: str, prev: Column, cur: Column, tolerance: float | None
     if kind == "never":
         return flip
     if kind == "exact":
-        test = prev != cur
+        # bit for bit: the two zeros differ, which shows in what they divide
+        zeros = (prev == 0) & (cur == 0)
+        test = (prev != cur) | (zeros & (F.pow(prev, F.lit(-1.0)) != F.pow(cur, F.lit(-1.0))))
     elif kind == "absolute":
         test = F.abs(cur - prev) > F.lit(1e-15 if tolerance is None else tolerance)
     elif kind == "relative":
@@ -88,6 +91,37 @@ def changed_column(kind: str, prev: Column, cur: Column, tolerance: float | None
     return flip | (both & F.coalesce(test, F.lit(False)))
 
 
+def changed_array(properties: dict[str, Any], source: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The cutoff of node properties over arrays of previous and new values.
+
+    Of computed nodes a change from or to NaN always counts; of a source a change from NaN does.
+    """
+    one, name = cutoff_of(properties), properties.get("cutoff")
+    tolerance = properties.get("tolerance")
+
+    def changed(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+        before, flip, both = np.isnan(p), np.isnan(p) != np.isnan(c), ~(np.isnan(p) | np.isnan(c))
+        if callable(name):
+            return (before if source else flip) | np.fromiter(map(one, p.tolist(), c.tolist()), bool, len(p))
+        if name == "always":
+            return np.ones(len(p), bool)
+        if name == "never":
+            return before if source else flip
+        if source:
+            flip |= before
+        with np.errstate(invalid="ignore", over="ignore"):
+            if name == "absolute":
+                test = np.abs(c - p) > (1e-15 if tolerance is None else float(tolerance))
+            elif name == "relative":
+                most = np.maximum(np.abs(p), np.abs(c))
+                test = (most != 0) & (np.abs(c - p) / np.where(most == 0, 1.0, most) > (1e-10 if tolerance is None else float(tolerance)))
+            else:
+                test = np.ascontiguousarray(p).view(np.int64) != np.ascontiguousarray(c).view(np.int64)
+        return flip | (both & test)
+
+    return changed
+
+
 def vector_changed(prev: list[float], cur: list[float], tolerance: float) -> bool:
     return any(((p != p) != (c != c)) or abs(c - p) > tolerance for p, c in zip(prev, cur, strict=True))
 

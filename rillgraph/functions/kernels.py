@@ -136,7 +136,7 @@ class Window(Kernel):
             for a in range(0, n - full, 65_536 // self.size + 1):
                 b = min(n - full, a + 65_536 // self.size + 1)
                 out[full - before + a : full - before + b] = self.of(*(v[a:b] for v in views))
-        self.held.extend(zip(*(c[-self.size :] for c in columns), strict=True))
+        self.held.extend(zip(*(a[-self.size :] for a in args), strict=True))
         return out
 
     def of(self, *rows: np.ndarray) -> np.ndarray:

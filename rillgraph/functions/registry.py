@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any, Protocol
 
+import numpy as np
+
 from . import kernels as K
 
 COMPARISONS: dict[str, Callable[[float, float], bool]] = {
@@ -79,30 +83,49 @@ class Registry:
     def register(self, name: str, inputs: tuple[str, ...] | None, factory: Callable[[dict[str, Any]], Callable], shape: str = "scalar") -> Registry:
         """A user's function: ``factory(properties)`` gives fn(*inputs) (or fn(list) -> list for vectors).
 
-        Unlike built-in kinds, it sees NaN inputs. An exception gives NaN.
+        Unlike built-in kinds, it sees NaN inputs. An exception gives NaN; see ``UserFunction`` for ``breakerMs``.
         """
-        make = (lambda p: UserFunction(factory(p))) if shape == "scalar" else factory
+        make = (lambda p: UserFunction(factory(p), _number(p, "breakerMs", 0.0))) if shape == "scalar" else factory
         return self.add(Kind(name.upper(), shape, inputs, make, cutoff=shape == "scalar"))
 
+    def accumulator(self, name: str, factory: Callable[[dict[str, Any]], Any]) -> Registry:
+        """A user's window: ``factory(properties)`` gives an accumulator with add, remove and result; ``window`` is its size."""
+        return self.add(Kind(name.upper(), "scalar", ("input",), lambda p: K.Accumulated(_whole(p, "window", 10), factory(p)), cutoff=True))
+
     def install(self, provider: NodeProvider) -> Registry:
         provider.register(self)
         return self
 
 
 class UserFunction(K.Kernel):
-    def __init__(self, fn: Callable):
-        self.fn = fn
+    """A user's function. An error makes the node NaN, is kept for listeners, and opens the breaker.
+
+    While the breaker is open, for ``breaker_ms`` of the rows' time (of the clock where rows have none), the
+    function isn't called and the node is NaN. 0 keeps it closed.
+    """
+
+    def __init__(self, fn: Callable, breaker_ms: float = 0.0):
+        self.fn, self.breaker, self.until = fn, breaker_ms, None
+        self.error: Exception | None = None
 
     def step(self, args, now=None):
+        if self.breaker:
+            now = time.monotonic() * 1000.0 if now is None else now
+            if self.until is not None:
+                if now < self.until:
+                    return K.NAN
+                self.until = None
         try:
             return float(self.fn(*args))
-        except Exception:  # noqa: BLE001  whatever a user's function raises, the node is NaN and the rest goes on
+        except Exception as e:  # noqa: BLE001  whatever a user's function raises, the node is NaN and the rest goes on
+            self.error = e
+            if self.breaker:
+                self.until = now + self.breaker
             return K.NAN
 
     def run(self, args, now=None):
-        import numpy as np
-
-        return np.array([self.step(row) for row in zip(*(a.tolist() for a in args), strict=True)], float)
+        times = itertools.repeat(None) if now is None else now.tolist()
+        return np.array([self.step(row, t) for row, t in zip(zip(*(a.tolist() for a in args), strict=True), times)], float)
 
 
 def _number(p: dict, key: str, default: float) -> float:

@@ -39,9 +39,9 @@ class GraphBuilder:
         self._registry.add(Kind(name.upper(), shape, None, make, cutoff=shape == "scalar"))
         return name
 
-    def compute(self, name: str, fn: Callable[..., float], *inputs: str, cutoff=None, tolerance: float | None = None) -> str:
-        """fn(*values) -> float; errors give NaN. It sees NaN inputs."""
-        kind = self._user("COMPUTE", "scalar", lambda p: UserFunction(fn))
+    def compute(self, name: str, fn: Callable[..., float], *inputs: str, cutoff=None, tolerance: float | None = None, breaker_ms: float = 0.0) -> str:
+        """fn(*values) -> float; errors give NaN, and no calls for ``breaker_ms`` after one. It sees NaN inputs."""
+        kind = self._user("COMPUTE", "scalar", lambda p: UserFunction(fn, breaker_ms))
         return self.node(name, kind, {f"{i:06d}": x for i, x in enumerate(inputs)}, cutoff=cutoff, tolerance=tolerance)
 
     def compute_vector(self, name: str, size: int, fn: Callable[[list[float]], list[float]], *inputs: str, tolerance: float = 1e-15) -> str:
@@ -73,6 +73,12 @@ class GraphBuilder:
     def rolling(self, name: str, kind: str, source: str, size: int) -> str:
         return self.node(name, kind, {"input": source}, window=size)
 
+    def windowed(self, name: str, source: str, size: int, accumulator: Callable[[], Any], cutoff=None, tolerance: float | None = None) -> str:
+        """A window under a user's accumulator: anything with add(x), remove(x) and result(). NaN inputs aren't added."""
+        kind = f"WINDOWED#{len(self._registry.kinds())}"
+        self._registry.accumulator(kind, lambda p: accumulator())
+        return self.node(name, kind, {"input": source}, window=size, cutoff=cutoff, tolerance=tolerance)
+
     def time_decay(self, name: str, source: str, half_life_ms: float) -> str:
         return self.node(name, "TIME_DECAY", {"input": source}, halfLifeMs=half_life_ms)
 

@@ -14,8 +14,9 @@ Physical plans, the cheapest that is exact being taken:
 * ``flags``: the incremental reading of graphs of stateless nodes, windows, lags,
   conditions, selects and switches. Each node is three columns: value, evaluated, changed; values
   carry forward over rows that don't evaluate, windows run over those that do.
-* ``stretches``: one ordered pass a key with array kernels (every_row).
-* ``engine``: one ordered pass a key with the incremental engine (changed, and vectors).
+* ``stretches``: one ordered pass a key with array kernels; when ``changed``, each node runs over the rows that
+  evaluate it. For all graphs without vectors.
+* ``engine``: one ordered pass a key with the incremental engine, row by row. For vectors.
 
 All need one shuffle by key. Only nodes that the outputs depend on are planned.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..functions.cutoffs import changed_column
+from ..functions.cutoffs import changed_array, changed_column
 from ..functions.kernels import NAN
 from ..operators.engine import Engine
 from ..operators.rolling import Rolling, log_return
@@ -61,13 +62,13 @@ class CompiledPlan:
     strategy: str
 
     def run(self, epochs: DataFrame, *, key: Sequence[str] = (), ts: str = "ts", order: Sequence[str] | None = None, feed: bool = False) -> DataFrame:
-        """Key, order and output columns; with ``feed`` (engine plans) also ``updated``, the changed nodes' indices.
+        """Key, order and output columns; with ``feed`` (not from columns) also ``updated``, the changed nodes' indices.
 
         ``epochs`` has a column per source; sources without a column keep their initial value. A timer
         source's column is boolean: true where it ticks.
         """
         order = list(order or (ts, "seq"))
-        strategy = "engine" if feed else self.strategy
+        strategy = next(s for s in strategies(self.graph, "changed") if s in ("stretches", "engine")) if feed and self.evaluation == "changed" else "engine" if feed else self.strategy
         return {"columns": _columns, "flags": _flags, "stretches": _stretches, "engine": _engine}[strategy](self, epochs, list(key), ts, order, feed)
 
 
@@ -86,11 +87,11 @@ def strategies(graph: GraphSpec, evaluation: str) -> list[str]:
     kinds = {n.type for n in graph.nodes}
     scalars = kinds - {"SCALAR_SOURCE"}
     exact = all(n.properties.get("cutoff", "exact") == "exact" for n in graph.nodes)
+    shapes = {graph.registry.kind(n.type).shape for n in graph.nodes}
     out = []
     if evaluation == "every_row":
         if scalars <= _STATELESS | _LATER | set(_WINDOWS) | _LAGS:
             out.append("columns")
-        shapes = {graph.registry.kind(n.type).shape for n in graph.nodes}
         if shapes <= {"scalar", "boolean", "switch", "select"}:
             out.append("stretches")
     else:
@@ -99,6 +100,8 @@ def strategies(graph: GraphSpec, evaluation: str) -> list[str]:
         named = all(isinstance(n.properties.get("cutoff", "exact"), str) and not callable(n.properties.get("operator")) for n in graph.nodes)
         if scalars <= _STATELESS | _LATER | set(_WINDOWS) | _LAGS and named and len(graph.nodes) <= MAX_FLAGGED:
             out.append("flags")
+        if shapes <= {"scalar", "boolean", "switch", "select", "timer"}:
+            out.append("stretches")
     return [*out, "engine"]
 
 
@@ -244,26 +247,36 @@ def _out_schema(plan: CompiledPlan, rows: DataFrame, kept: list[str], feed: bool
 def _stretches(plan: CompiledPlan, epochs: DataFrame, key: list[str], ts: str, order: list[str], feed: bool) -> DataFrame:
     rows, present = _prepared(plan, epochs, key, ts, order)
     graph, outputs, width = plan.graph, plan.outputs, len(key)
-    schema = _out_schema(plan, rows, [*key, *order], False)
+    every = plan.evaluation == "every_row"
+    schema = _out_schema(plan, rows, [*key, *order], feed)
     skip = width + 1 + len(present)
-    names = [*key, *order, *outputs]
+    names = [*key, *order, *outputs, *(["updated"] if feed else [])]
+    order_of = {n: i for i, n in enumerate(graph.topology.order)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             n = batch.num_rows
             out: dict[str, np.ndarray] = {}
+            moved = np.zeros((n if feed else 0, len(order_of)), bool)
             now = doubles(batch.column(width))
             given = {c: (batch.column(width + 1 + i).is_valid().to_numpy(zero_copy_only=False), doubles(batch.column(width + 1 + i))) for i, c in enumerate(present)}
             for k, a, b in stretches(batch, width):
                 if current is None or k != current:
-                    current, state = k, Stretch(graph)
+                    current, state = k, (Stretch if every else ChangedStretch)(graph)
                 values = state.run({c: (v[a:b], x[a:b]) for c, (v, x) in given.items()}, now[a:b])
                 for o in outputs:
                     if o not in out:
                         out[o] = np.empty(n, bool if values[o].dtype == bool else float)
                     out[o][a:b] = values[o]
-            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *(pa.array(out.get(o, np.empty(0))) for o in outputs)], names=names)
+                if feed:
+                    for name, i in order_of.items():
+                        moved[a:b, i] = state.changed[name]
+            arrays = [pa.array(out.get(o, np.empty(0))) for o in outputs]
+            if feed:
+                at, which = np.nonzero(moved)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)).astype(np.int32)), pa.array(which.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *arrays], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -304,6 +317,88 @@ class Stretch:
         return v
 
 
+class ChangedStretch:
+    """Array evaluation with the incremental engine's results: a node runs over the rows in which a parent changed."""
+
+    def __init__(self, graph: GraphSpec):
+        self.graph, self.nodes, self.first = graph, [], True
+        self.changed: dict[str, np.ndarray] = {}
+        self.last: dict[str, float | bool] = {}  # of each node: the value, of switches also the side, and if it was evaluated
+        self.side: dict[str, bool] = {}
+        self.seen: set[str] = set()
+        for n in graph.ordered():
+            kind = graph.registry.kind(n.type)
+            made = kind.make(n.properties) if kind.make else None
+            parents = [p for _, p in graph.registry.ordered_inputs(n)]
+            cutoff = changed_array(n.properties if kind.cutoff else {}, kind.source)
+            self.nodes.append((n, kind, made, parents[:1] if kind.timed else parents, cutoff))
+            self.last[n.name] = False if kind.shape == "boolean" else 0.0 if kind.shape == "timer" else NAN
+
+    def run(self, given: dict[str, tuple[np.ndarray, np.ndarray]], now: np.ndarray) -> dict[str, np.ndarray]:
+        v: dict[str, np.ndarray] = {}
+        sides: dict[str, np.ndarray] = {}
+        rows = len(now)
+        for n, kind, made, parents, cutoff in self.nodes:
+            name = n.name
+            if kind.source:
+                ok, x = given.get(name, (np.zeros(rows, bool), np.full(rows, NAN)))
+                on = ok & (x != 0) if kind.shape == "timer" else ok.copy()
+                if self.first and rows:
+                    on[0] = True
+            else:
+                on = np.zeros(rows, bool)
+                for p in self.graph.topology.parents(name):
+                    on |= self.changed[p] & self._open(p, name, sides)
+            at = np.flatnonzero(on)
+            before = self.last[name]
+            if not len(at):
+                v[name], self.changed[name] = np.full(rows, before), on
+                if kind.shape == "switch":
+                    sides[name] = np.full(rows, self.side.get(name, False))
+                continue
+            if kind.shape == "timer":
+                values = before + np.arange(1.0, len(at) + 1)
+            elif kind.source:
+                values = np.where(ok[at], x[at], made)  # without an update, the first row gives the initial value
+            elif kind.shape == "boolean":
+                args = v[parents[0]][at]
+                values = np.fromiter((bool(made(a)) for a in args.tolist()), bool, len(at))
+            elif kind.shape == "switch":
+                values = v[parents[0]][at].astype(float)
+            elif kind.shape == "select":
+                values = np.where(v[parents[0]][at], v[parents[1]][at], v[parents[2]][at]).astype(float)
+            else:
+                values = made.run([v[p][at].astype(float) for p in parents], now[at])
+            prev = np.concatenate([[before], values[:-1]])
+            if kind.shape in ("timer", "switch"):
+                moved = np.ones(len(at), bool)
+            elif kind.shape == "boolean":
+                moved = prev != values
+                moved[0] |= name not in self.seen
+            else:
+                moved = cutoff(prev, values)
+            self.seen.add(name)
+            upto = np.cumsum(on) - 1
+            v[name] = np.where(upto >= 0, values[np.maximum(upto, 0)], before)
+            on[at] = moved
+            self.changed[name] = on
+            self.last[name] = values[-1]
+            if kind.shape == "switch":
+                taken = v[parents[1]][at].astype(bool)
+                sides[name] = np.where(upto >= 0, taken[np.maximum(upto, 0)], self.side.get(name, False))
+                self.side[name] = bool(taken[-1])
+        self.first = self.first and not rows
+        return v
+
+    def _open(self, parent: str, child: str, sides: dict[str, np.ndarray]):
+        """Rows in which no switch cuts the edge."""
+        if parent not in sides:
+            return True
+        p = self.graph.node(parent).properties
+        yes, no = (child in ([b] if isinstance(b, str) else b or []) for b in (p.get("true_branch"), p.get("false_branch")))
+        return True if yes == no else sides[parent] if yes else ~sides[parent]
+
+
 def _engine(plan: CompiledPlan, epochs: DataFrame, key: list[str], ts: str, order: list[str], feed: bool) -> DataFrame:
     rows, present = _prepared(plan, epochs, key, ts, order)
     graph, outputs, width, every = plan.graph, plan.outputs, len(key), plan.evaluation == "every_row"

@@ -4,17 +4,19 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillgraph.functions import columns as C
 from rillgraph.functions import kernels as K
+from rillgraph.functions.registry import default_registry
 from rillgraph.gallery import stress_graph
 from rillgraph.operators import changes, telemetry
-from rillgraph.operators.engine import Engine
+from rillgraph.operators.engine import Engine, Listener
 from rillgraph.operators.scans import recur
 from rillgraph.plans.builder import GraphBuilder
-from rillgraph.plans.compiler import compile_graph
+from rillgraph.plans.compiler import ChangedStretch, compile_graph, strategies
 from rillgraph.plans.explain import edges, lineage
 from rillgraph.sources import epochs, feeds
 from rillgraph.streaming import live
@@ -23,11 +25,11 @@ NAN = float("nan")
 
 
 def rows_of(seed, n, keys, sources, levels=6):
-    """Sparse updates with repeats, zeros and NaN faults."""
+    """Sparse updates with repeats, zeros of both signs and NaN faults."""
     r = random.Random(seed)
     out = []
     for i in range(n):
-        u = [r.choice([None, None, NAN if r.random() < 0.2 else float(r.randrange(levels))]) for _ in sources]
+        u = [r.choice([None, None, NAN if r.random() < 0.2 else float(r.randrange(levels)) * r.choice([1.0, 1.0, -1.0])]) for _ in sources]
         out.append((r.randrange(keys), i * 1000, i, *u))
     return out
 
@@ -82,10 +84,124 @@ def test_incremental_plan_is_the_engine(spark, seed):
     outputs = ["c", "s", "yes", "no", "sum", "diff", "held", "decay", "pick"]
     rows = rows_of(seed, 300, 7, sources)
     plan = compile_graph(graph, outputs)
-    assert plan.strategy == "engine"
-    agree(plan.run(frame(spark, rows, sources), key=["key"]).collect(), simulated(graph, rows, sources, outputs), outputs)
+    assert plan.strategy == "stretches"
+    expected = simulated(graph, rows, sources, outputs)
+    agree(plan.run(frame(spark, rows, sources), key=["key"]).collect(), expected, outputs)
+    agree(compile_graph(graph, outputs, strategy="engine").run(frame(spark, rows, sources), key=["key"]).collect(), expected, outputs)
 
 
+def span_class():
+    class Span:  # local, so that it travels by value
+        """Largest less smallest."""
+
+        def __init__(self):
+            self.held = []
+
+        def add(self, x):
+            self.held.append(x)
+
+        def remove(self, x):
+            self.held.remove(x)
+
+        def result(self):
+            return max(self.held) - min(self.held)
+
+    return Span
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_changed_stretches_are_the_engine(seed):
+    """Values and changes of every kind of node without vectors, however the rows are cut into stretches."""
+    b = GraphBuilder()
+    x, y, z = b.scalar_source("x", cutoff="relative", tolerance=0.3), b.scalar_source("y", 1.0), b.scalar_source("z", cutoff="never")
+    tick, free = b.timer("tick", 1000), b.scalar_source("free", cutoff=lambda p, c: c > p)
+    s = b.switch("s", x, b.condition("c", y, ">", 2.0))
+    yes, no = b.node("yes", "AVERAGE", {"a": s, "b": y}, cutoff="absolute", tolerance=1.0), b.node("no", "SPREAD", {"a": s, "b": y}, cutoff="never")
+    b.mark_branch("s", yes, True), b.mark_branch("s", no, False)
+    for kind in ("EWMA", "MACD", "RSI", "SMA", "ROLLING_VARIANCE", "Z_SCORE", "DIFF", "LOG_RETURN"):
+        b.node(f"{kind}_y", kind, {"input": y}, cutoff="relative" if kind == "SMA" else None, tolerance=0.1 if kind == "SMA" else None)
+    b.node("later", "EWMA", {"input": "SMA_y"}), b.node("both", "BETA", {"x": yes, "y": no}, window=4)
+    b.throttle("held", x, 3000), b.time_decay("decay", yes, 2000.0), b.timer_ewma("te", z, tick, 1500.0), b.timer_twap("tw", free, tick)
+    b.select("pick", "c", "decay", "EWMA_y"), b.condition("odd", "yes", lambda v: v > 1 or v != v)
+    b.compute("user", lambda p, q: 1 / p + q, y, "held", cutoff=lambda p, c: abs(c - p) > 0.2), b.windowed("span", y, 4, span_class())
+    graph = b.build()
+    names = list(graph.topology.order)
+    rows = rows_of(seed, 200, 1, ["x", "y", "z", "free", "tick"])
+    engine, state = Engine(graph), ChangedStretch(graph)
+    r, i = random.Random(seed), 0
+    while i < len(rows):
+        part = rows[i : i + r.randrange(0, 30)]
+        i += len(part)
+        given = {n: (np.array([q[3 + k] is not None for q in part], bool), np.array([NAN if q[3 + k] is None else q[3 + k] == q[3 + k] if n == "tick" else q[3 + k] for q in part], float)) for k, n in enumerate(["x", "y", "z", "free", "tick"])}
+        got = state.run(given, np.array([q[1] for q in part], float))
+        for j, (_, ms, _, *values) in enumerate(part):
+            for n, v in zip(["x", "y", "z", "free"], values):
+                if v is not None:
+                    engine.update(n, v)
+            if values[4] is not None and values[4] == values[4]:
+                engine.mark("tick")
+            engine.stabilize(float(ms))
+            for n in names:
+                assert same(float(engine.value(n)), float(got[n][j])), (i, j, n)
+                assert engine.changed[engine.at[n]] == bool(state.changed[n][j]), (i, j, n)
+
+
+def test_signed_zeros_are_changes(spark):
+    """The exact cutoff goes by bits, whichever plan reads it."""
+    b = GraphBuilder()
+    b.rolling("mean", "SMA", b.scalar_source("x"), 10)
+    graph = b.build()
+    rows = [(0, i * 1000, i, v) for i, v in enumerate([6.0, 0.0, -0.0, 0.0, 0.0])]
+    for strategy in ("flags", "stretches", "engine"):
+        got = compile_graph(graph, ["mean"], strategy=strategy).run(frame(spark, rows, ["x"]), key=["key"]).orderBy("seq").collect()
+        assert [r["mean"] for r in got] == [6.0, 3.0, 2.0, 1.5, 1.5], strategy
+    df = frame(spark, rows, ["x"]).withColumn("on", F.lit(True))
+    assert [r.changed for r in changes.source_changes(df, "x", ["key"], ["seq"]).orderBy("seq").collect()] == [True, True, True, True, False]
+    assert [r.changed for r in changes.calc_changes(df, "x", "on", ["key"], ["seq"]).orderBy("seq").collect()] == [True, True, True, True, False]
+
+
+def test_errors_of_user_functions_are_heard():
+    """A failing function makes its node NaN, listeners hear of it, and an open breaker spares the calls."""
+    calls, heard = [], []
+
+    def shaky(x):
+        calls.append(x)
+        if x < 0:
+            raise KeyError("below")
+        return x * 2
+
+    class Ear(Listener):
+        def on_error(self, epoch, node, error):
+            heard.append((epoch, node, type(error)))
+
+    b = GraphBuilder()
+    x = b.scalar_source("x")
+    b.compute("open", shaky, x, breaker_ms=1000.0), b.compute_vector("pair", 2, lambda v: [v[0]], x)
+    engine = Engine(b.build(), listeners=(Ear(),))
+    out = []
+    for ms, v in [(0, 1.0), (100, -1.0), (600, 2.0), (1099, 3.0), (1100, 4.0)]:
+        engine.update("x", v)
+        engine.stabilize(float(ms))
+        out.append(engine.value("open"))
+    assert [o if o == o else None for o in out] == [2.0, None, None, None, 8.0] and calls == [1.0, -1.0, 4.0]
+    assert (2, "open", KeyError) in heard and sum(h[1] == "pair" for h in heard) == 5 and len(heard) == 6
+
+
+def test_accumulators_are_windows(spark):
+    """A user's accumulator by builder and by registry, in every plan."""
+    b = GraphBuilder()
+    Span = span_class()
+    b.windowed("span", b.scalar_source("x"), 3, Span)
+    graph = b.build()
+    named = GraphBuilder(registry=default_registry().accumulator("span", lambda p: Span()))
+    named.node("span", "SPAN", {"input": named.scalar_source("x")}, window=3)
+    rows = rows_of(5, 120, 3, ["x"])
+    for evaluation in ("changed", "every_row"):
+        expected = simulated(named.build() if evaluation == "changed" else graph, rows, ["x"], ["span"], every=evaluation == "every_row")
+        assert strategies(graph, evaluation) == ["stretches", "engine"]
+        for strategy in strategies(graph, evaluation):
+            agree(compile_graph(graph, ["span"], evaluation, strategy).run(frame(spark, rows, ["x"]), key=["key"]).collect(), expected, ["span"])
+
 def gates_without_time():
     b = GraphBuilder()
     x, y = b.scalar_source("x", cutoff="absolute", tolerance=0.5), b.scalar_source("y", 1.0)
