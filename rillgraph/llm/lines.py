@@ -17,12 +17,12 @@ leaves the first or the last half of the line as it was, so a line whose half
 occurs nowhere else needs no variants in the other half. This keeps the result whole and the shuffles small.
 
 Defined results. A null text has no lines, an empty text one empty line. Lines without words are never removed.
-A null id comes last. Rows that repeat an id come in the order of a hash of
-their texts; rows that repeat id and text are one document. Other columns are not
+A null id comes last, as the largest. Rows that repeat an id come in the order of a hash of
+their texts; rows that repeat id and text are one document. Ids are integers, or what casts to them. Other columns are not
 looked at.
 
-Scale: equal lines are reduced first; what is shuffled is hashes, and words only of lines
-with a candidate. Hot keys meet partial aggregates and joins that Spark can split.
+Scale: equal lines (by 128 bits) are reduced first; what is shuffled is hashes, and words only of lines
+with a candidate. Work is in proportion to a line's words, however long it is. Hot keys meet partial aggregates and joins that Spark can split.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, written
 
 MIN_WORDS = 8
+#: Words whose running hashes are built in one array.
+STRETCH = 256
 _LAST = (1 << 63) - 1
 
 
@@ -42,9 +44,18 @@ def _plain(text: Column) -> Column:
 
 
 def _running(words: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... words, each made from the one before."""
+    """Hashes of the first 0, 1, 2, ... words: of the whole stretches before, and of the words since.
+
+    An array grows by copies, so no array is built step by step beyond a stretch of words or a list of stretches.
+    """
     start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(words, start, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
+    grow = lambda items: F.aggregate(items, start, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluated once, however often it is used
+    stretches = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / STRETCH).cast("int")), lambda k: grow(F.slice(w, k * STRETCH + 1, F.lit(STRETCH))))
+    before = lambda parts: grow(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda part: F.element_at(part, -1)))
+    # a stretch begins with the hash of none of its words, which ends the one before
+    joined = lambda parts, sums: F.flatten(F.zip_with(parts, sums, lambda part, s: F.transform(F.slice(part, F.lit(1), F.lit(STRETCH)), lambda h: F.xxhash64(s, h))))
+    return once(words, lambda w: once(stretches(w), lambda parts: once(before(parts), lambda sums: joined(parts, sums))))
 
 
 def _without(words: Column, m: Column, i: Column, whole: Column) -> Column:
@@ -54,7 +65,18 @@ def _without(words: Column, m: Column, i: Column, whole: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_lines, n_exact, n_near, text (the lines that stay)."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = F.col(id_col).cast("long")
+    docs = docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # texts tell apart only rows that share an id
+    several = written(docs.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("s")))
+    n_several = several.limit(BROADCAST_IDS + 1).count()
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    if n_several == 0:
+        docs = docs.withColumn("h", F.lit(0).cast("long"))
+    elif n_several <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(several), F.col("id") == F.col("s"), "left").withColumn("h", F.when(F.col("s").isNotNull(), h).otherwise(0).cast("long")).drop("s")
+    else:
+        docs = docs.withColumn("h", h)
     exploded = docs.select("id", "h", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("no", "line"))
     line = exploded.select("id", "h", "no", F.trim("line").alias("line")).where("line <> ''")
     place = F.struct("id", "h", "no")
@@ -68,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     # For a pair whose longer line has `whole` words: what stands before its middle, or after.
     keyed = written(
         sized.select(
-            "id", "h", "no", "m", F.xxhash64("line", "m").alias("key"),
+            "id", "h", "no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"),
             part("a", F.col("m"), half).alias("h0"), part("z", F.col("m"), half - F.col("m")).alias("h1"),
             part("a", F.col("m") + 1, upper).alias("h2"), part("z", F.col("m") + 1, upper - F.col("m") - 1).alias("h3"),
         )
@@ -76,17 +98,21 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
 
     # Equal lines: the earliest stands for all.
     equal = written(keyed.groupBy("key").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in ("h0", "h1", "h2", "h3")]))
-    halves = equal.where(F.col("h0").isNotNull()).select("key", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
+    # What follows knows a line by 64 bits; near lines are held against each other by their words.
+    halves = equal.where(F.col("h0").isNotNull()).select(F.xxhash64("key").alias("key"), F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select(F.col("half").alias("s"))
     kinds = halves.join(shared, F.col("half") == F.col("s"), "left_semi").groupBy(F.col("key").alias("k")).agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
-    maybe = written(kinds.join(equal.select("key", "first"), F.col("key") == F.col("k")).select("k", "kinds", "first"))
+    maybe = kinds.join(equal.select(F.xxhash64("key").alias("key"), "first"), F.col("key") == F.col("k"))
+    wanted = written(maybe.groupBy(F.col("first.id").alias("i"), F.col("first.h").alias("g")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "k", "kinds")).alias("wanted")))
 
     # Words of the lines that may have a partner, and their variants where the edit can be.
-    small = maybe.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = maybe.select("k", "kinds", F.col("first.id").alias("i"), F.col("first.h").alias("g"), F.col("first.no").alias("at"))
-    here = (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")) & (F.col("no") == F.col("at"))
-    found_lines = line.join(F.broadcast(wanted) if small else wanted, here).select(F.col("k").alias("key"), "kinds", place.alias("place"), F.split("line", " ").alias("words"))
-    picked = written(found_lines.dropDuplicates(["key"]))
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    here = docs.join(F.broadcast(wanted) if small else wanted, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")))
+    if n_several:  # rows that repeat id and text
+        here = here.dropDuplicates(["id", "h"])
+    here = here.select("id", "h", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    words = F.split(F.trim(_plain(F.element_at("lines", F.col("x.no") + 1))), " ")
+    picked = written(here.select(F.col("x.k").alias("key"), F.col("x.kinds").alias("kinds"), F.struct("id", "h", "x.no").alias("place"), words.alias("words")))
     run = picked.select("key", "kinds", "place", F.size("words").alias("m"), _running(F.col("words")).alias("fore"), F.reverse(_running(F.reverse("words"))).alias("aft"))
     m = F.col("m")
     half, upper = F.floor(m / 2).cast("int"), F.floor((m + 1) / 2).cast("int")
@@ -121,7 +147,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     stays = F.filter(lines, lambda x, no: ~F.array_contains("numbers", no))
     count = lambda c: F.coalesce(F.size(F.filter("gone", c)), F.lit(0)).cast("long")
     return joined.select(
-        F.when(F.col("id") != _LAST, F.col("id")).alias(id_col),
+        F.col("own").alias(id_col),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(count(lambda x: ~x["near"])).cast("long").alias("n_exact"),
         F.when(F.col("gone").isNull(), 0).otherwise(count(lambda x: x["near"])).cast("long").alias("n_near"),
