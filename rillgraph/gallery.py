@@ -395,8 +395,8 @@ def node_profile_topk(spark, d):
 
 @query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{p}" for q, p in ((0.5, "50"), (0.75, "75"), (0.9, "90"), (0.99, "99"))) + " FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    exact = [F.round(F.percentile("value", q), 6).alias(f"p{p}") for q, p in ((0.5, "50"), (0.75, "75"), (0.9, "90"), (0.99, "99"))]
-    return events(spark, d).groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 6).alias("avg"), *exact)
+    found = telemetry.quantiles(events(spark, d), "value", ["event_type"], (0.5, 0.75, 0.9, 0.99), exact=True)
+    return found.select("event_type", "n", "min", "max", *[F.round(c, 6).alias(c) for c in ("avg", "p50", "p75", "p90", "p99")])
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value > 120) WHERE n = 1")
@@ -474,17 +474,31 @@ def stress_rows(spark, d):
     "SELECT c.user_id, c.event_id, c.rn, c.s1, c.s2, 0.1 * ((c.s1 + c.s2 + c.s3) / 3) + 0.9 * r.w AS w, list_slice(list_append(r.ds, 0.1 * ((c.s1 + c.s2 + c.s3) / 3) + 0.9 * r.w - r.w), greatest(1, len(r.ds) - 8), len(r.ds) + 1) AS ds, r.f AS pf, r.g AS pg "
     "FROM r JOIN c ON c.user_id = r.user_id AND c.rn = r.rn + 1)), "
     "o AS (SELECT *, f - g - s1 AS gap FROM r), h AS (SELECT *, 2 / (1 / gap + 1 / s2) AS har FROM o), k AS (SELECT *, ((list_avg(ds) - har * w) * s1 + gap * s2) / (s1 + s2) AS wt FROM h) "
-    "SELECT l.event_id, round(k.w, 6) AS smooth, round(k.f - k.g, 6) AS trend, round((k.wt + k.s1) / 2, 3) AS final FROM l LEFT JOIN k ON k.event_id = l.event_id"
+    "SELECT l.event_id, round(k.w, 6) AS smooth, round(k.f - k.g, 6) AS trend, round((k.wt + k.s1) / 2, 3) + 0.0 AS final FROM l LEFT JOIN k ON k.event_id = l.event_id"
 )
 def stress_template(spark, d):
     made = compile_graph(stress_graph(), ["smooth", "trend", "final"], "every_row").run(stress_rows(spark, d), key=KEY, order=ORDER)
-    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), F.round(F.when(~F.isnan("final"), F.col("final")), 3).alias("final"))
+    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), (F.round(F.when(~F.isnan("final"), F.col("final")), 3) + 0.0).alias("final"))
 
 
-@query()
+# The incremental reading step by step: a row says which nodes run (their inputs moved), and what is carried on else. Mean,
+# move and window move with what feeds them; an average that comes out as it was stops there.
+@query(
+    f"WITH RECURSIVE {_LEGS}, c AS (SELECT user_id, event_id, leg1 AS s1, leg2 AS s2, direct AS s3, row_number() OVER {_W}) AS rn FROM l WHERE leg1 IS NOT NULL AND leg2 IS NOT NULL AND direct IS NOT NULL), "
+    "r AS (SELECT user_id, event_id, rn, s1, s2, (s1 + s2 + s3) / 3 AS m, (s1 + s2 + s3) / 3 AS w, CAST(0 AS DOUBLE) AS mv, [CAST(0 AS DOUBLE)] AS ds, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS g, true AS aw FROM c WHERE rn = 1 UNION ALL "
+    "SELECT user_id, event_id, rn, s1, s2, m, w, mv, ds, a, CASE WHEN a <> pa THEN 2.0 / 13 * a + 11.0 / 13 * pf ELSE pf END, CASE WHEN a <> pa THEN 2.0 / 27 * a + 25.0 / 27 * pg ELSE pg END, a <> pa FROM ("
+    "SELECT *, CASE WHEN mv <> pmv THEN list_avg(ds) ELSE pa END AS a FROM ("
+    "SELECT *, CASE WHEN mv <> pmv THEN list_slice(list_append(pds, mv), greatest(1, len(pds) - 8), len(pds) + 1) ELSE pds END AS ds FROM ("
+    "SELECT *, CASE WHEN w <> pw THEN w - pw ELSE pmv END AS mv FROM ("
+    "SELECT *, CASE WHEN m <> pm THEN 0.1 * m + 0.9 * pw ELSE pw END AS w FROM ("
+    "SELECT c.user_id, c.event_id, c.rn, c.s1, c.s2, (c.s1 + c.s2 + c.s3) / 3 AS m, r.m AS pm, r.w AS pw, r.mv AS pmv, r.ds AS pds, r.a AS pa, r.f AS pf, r.g AS pg FROM r JOIN c ON c.user_id = r.user_id AND c.rn = r.rn + 1)))))), "
+    "o AS (SELECT *, f - g - s1 AS gap FROM r), h AS (SELECT *, 2 / (1 / gap + 1 / s2) AS har FROM o), k AS (SELECT *, ((a - har * w) * s1 + gap * s2) / (s1 + s2) AS wt FROM h) "
+    "SELECT l.event_id, round(k.w, 6) AS smooth, round(k.f - k.g, 6) AS trend, round((k.wt + k.s1) / 2, 3) + 0.0 AS final FROM l LEFT JOIN k ON k.event_id = l.event_id"
+)
 def stress_incremental(spark, d):
-    """The same graph by the incremental engine."""
-    return compile_graph(stress_graph(), ["smooth", "trend", "final"]).run(stress_rows(spark, d), key=KEY, order=ORDER)
+    """The same graph in its incremental reading."""
+    made = compile_graph(stress_graph(), ["smooth", "trend", "final"]).run(stress_rows(spark, d), key=KEY, order=ORDER)
+    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), (F.round(F.when(~F.isnan("final"), F.col("final")), 3) + 0.0).alias("final"))
 
 
 @query(f"WITH {_LEGS} SELECT event_id, round(CASE WHEN leg1 IS NULL OR leg2 IS NULL THEN NULL ELSE greatest(leg1, leg2) * 2 END, 6) AS made FROM l")
@@ -508,3 +522,60 @@ def custom_window(spark, d):
 def tick_messages(spark, d):
     df = legs(spark, d).select("event_id", C.condition(C.number(F.col("leg1")), ">", 60.0).alias("high"))
     return changes.tick_json(df, ["high"], "event_id").select("event_id", "message")
+
+
+@query(f"SELECT event_id, round(sqrt(sum(value * value) {_frame(4)} / count(value) {_frame(4)}), 6) AS rms FROM events")
+def accumulated_window(spark, d):
+    """A user's accumulator as a window node."""
+
+    class MeanSquare:
+        def __init__(self):
+            self.n, self.sum = 0, 0.0
+
+        def add(self, x):
+            self.n, self.sum = self.n + 1, self.sum + x * x
+
+        def remove(self, x):
+            self.n, self.sum = self.n - 1, self.sum - x * x
+
+        def result(self):
+            return (self.sum / self.n) ** 0.5
+
+    b = GraphBuilder()
+    b.windowed("rms", b.scalar_source("value"), 4, MeanSquare)
+    made = compile_graph(b.build(), ["rms"], "every_row").run(events(spark, d), key=KEY, order=ORDER)
+    return made.select("event_id", six(F.col("rms")).alias("rms"))
+
+
+@query(
+    f"WITH RECURSIVE {_FX_SQL}, g AS (SELECT user_id, arg_max(x, (ts, event_id)) AS x FROM f GROUP BY user_id), "
+    "h AS (SELECT user_id, arg_max(w, (ts, event_id)) FILTER (w IS NOT NULL) AS w FROM f GROUP BY user_id) "
+    "SELECT g.user_id, CAST(5 AS BIGINT) AS n_nodes, 'TRI_ARB_SPREAD' AS kind, 'leg1' AS first_leg, round(g.x, 6) AS spread, round(h.w, 6) AS ewma FROM g JOIN h ON h.user_id = g.user_id"
+)
+def graph_snapshot(spark, d):
+    """The whole graph as a document per key, read back from its JSON."""
+    graph = _fx()
+    made = compile_graph(graph, ["spread", "ewma"]).run(legs(spark, d, filled=False), key=KEY, order=ORDER)
+    node = "struct<name:string,type:string,inputs:map<string,string>,value:double>"
+    doc = changes.graph_snapshot(made, graph, KEY, ORDER).select("user_id", F.from_json("snapshot", f"name string, version string, nodes array<{node}>").alias("g"))
+    named = lambda n: F.element_at(F.filter("g.nodes", lambda x: x["name"] == n), 1)
+    return doc.select(
+        "user_id", F.size("g.nodes").cast("long").alias("n_nodes"), named("spread")["type"].alias("kind"), named("spread")["inputs"]["leg1"].alias("first_leg"),
+        F.round(named("spread")["value"], 6).alias("spread"), F.round(named("ewma")["value"], 6).alias("ewma"),
+    )
+
+
+@query(
+    f"WITH {_LEGS} SELECT event_id, '{{\"type\":\"tick\",\"epoch\":' || event_id || ',\"values\":{{\"high\":' || CASE WHEN coalesce(leg1 > 60, false) THEN '1.0' ELSE '0.0' END || '}},\"metrics\":{{\"rows\":' "
+    f"|| row_number() OVER {_W}) || ',\"missing\":' || (CASE WHEN leg2 IS NULL THEN 1 ELSE 0 END) || '}}}}' AS message FROM l"
+)
+def tick_metrics(spark, d):
+    rows = F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER))
+    df = legs(spark, d).select("event_id", "user_id", "ts", "leg2", C.condition(C.number(F.col("leg1")), ">", 60.0).alias("high")).withColumn("rows", rows)
+    return changes.tick_json(df, ["high"], "event_id", {"rows": F.col("rows"), "missing": F.when(F.col("leg2").isNull() | F.isnan("leg2"), 1).otherwise(0)}).select("event_id", "message")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_id <= 5000) WHERE n = 1")
+def replay_state(spark, d):
+    """Each key's state at an earlier epoch."""
+    return changes.replay(events(spark, d), KEY, ORDER, F.col("event_id") <= 5000).select("user_id", "event_id", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,49 @@ def snapshot(df: DataFrame, nodes: Sequence[str], key: Sequence[str], order: Seq
     return last.select(*key, F.to_json(F.struct(*[clean(n) for n in nodes]), {"ignoreNullFields": "false"}).alias("snapshot"))
 
 
-def tick_json(df: DataFrame, nodes: Sequence[str], epoch: str) -> DataFrame:
-    """A message per row, as a live page reads it: scalars that aren't finite are named, vectors' are null."""
+def graph_snapshot(df: DataFrame, graph, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key as a document of the whole graph: nodes with type, inputs by edge label, headers and value.
+
+    Values are those of the nodes that ``df`` has a column for; NaN and all that isn't finite is null.
+    """
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    have = [n for n in graph.topology.order if n in kinds]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*[quoted(n).alias(n) for n in have], *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)]), F.struct(*order)).alias("v"))
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+    def text(n: str) -> Column:
+        v = F.col("v").getField(n)
+        clean = finite(v) if kinds[n] == "double" else F.transform(v, finite) if kinds[n].startswith("array") else v
+        return F.coalesce(F.get_json_object(F.to_json(F.struct(clean.alias("x"))), "$.x"), F.lit("null"))
+
+    labels: dict[str, dict[str, str]] = {}
+    for (parent, child), names in graph.edge_labels.items():
+        for label in names:
+            labels.setdefault(child, {})[label] = parent
+    parts = []
+    for n in graph.topology.order:
+        spec = graph.node(n)
+        fixed = {"name": n, "type": spec.type, "inputs": labels.get(n, {})}
+        if spec.properties.get("headers"):
+            fixed["headers"] = list(spec.properties["headers"])
+        head = json.dumps(fixed)[:-1]
+        parts.append(F.concat(F.lit(head + ', "value": '), text(n), F.lit("}")) if n in have else F.lit(head + "}"))
+    head = json.dumps({"name": graph.name, "version": graph.version})[:-1] + ', "nodes": ['
+    return last.select(*key, F.concat(F.lit(head), F.concat_ws(", ", *parts), F.lit("]}")).alias("snapshot"))
+
+
+def replay(df: DataFrame, key: Sequence[str], order: Sequence[str], upto: Column) -> DataFrame:
+    """The state as it was: each key's last row among those for which ``upto`` holds (an epoch or a time at most)."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(o).desc() for o in order])
+    return df.where(upto).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def tick_json(df: DataFrame, nodes: Sequence[str], epoch: str, metrics: dict[str, Column] | None = None) -> DataFrame:
+    """A message per row, as a live page reads it: scalars that aren't finite are named, vectors' are null.
+
+    ``metrics`` adds numbers by name, such as evaluations or latencies.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def text(n: str) -> Column:
@@ -80,7 +122,9 @@ def tick_json(df: DataFrame, nodes: Sequence[str], epoch: str) -> DataFrame:
         return F.coalesce(named, c.cast("string"))
 
     parts = [F.concat(F.lit(f'"{n}":'), text(n)) for n in nodes]
-    return df.withColumn("message", F.concat(F.lit('{"type":"tick","epoch":'), F.col(epoch).cast("string"), F.lit(',"values":{'), F.concat_ws(",", *parts), F.lit("}}")))
+    numbers = [F.concat(F.lit(f'"{m}":'), F.coalesce(c.cast("string"), F.lit("null"))) for m, c in (metrics or {}).items()]
+    measured = [F.lit(',"metrics":{'), F.concat_ws(",", *numbers), F.lit("}")] if numbers else []
+    return df.withColumn("message", F.concat(F.lit('{"type":"tick","epoch":'), F.col(epoch).cast("string"), F.lit(',"values":{'), F.concat_ws(",", *parts), F.lit("}"), *measured, F.lit("}")))
 
 
 def alerts(df: DataFrame, column: str, operator: str, threshold: float, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,33 @@ def kernel_source(graph: GraphSpec, name: str) -> str:
     return inspect.getsource(made if inspect.isfunction(made) else type(made))
 
 
+def init_payload(graph: GraphSpec) -> dict:
+    """What a live page needs before its first tick: the drawing, who feeds whom, descriptions, edge labels and sources of functions."""
+    t = graph.topology
+    sources = {}
+    for n in t.order:
+        if not graph.registry.kind(graph.node(n).type).source:
+            try:
+                sources[n] = kernel_source(graph, n)
+            except (OSError, TypeError, AttributeError):  # no text to be had, as of functions typed in
+                sources[n] = ""
+    return {
+        "type": "init",
+        "name": graph.name,
+        "version": graph.version,
+        "mermaid": mermaid(graph),
+        "nodes": list(t.order),
+        "routing": {n: list(t.children(n)) for n in t.order},
+        "descriptions": {n: graph.node(n).description for n in t.order if graph.node(n).description},
+        "edge_labels": [{"from": a, "to": b, "labels": list(names)} for (a, b), names in graph.edge_labels.items()],
+        "sources": sources,
+    }
+
+
 def lineage(edge_table: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """Transitive closure (ancestor, descendant) of an edge table, by recursive SQL."""
-    edge_table.createOrReplaceTempView("__edges")
+    view = f"edges_{uuid.uuid4().hex}"  # a name of its own, so that calls at once don't meet
+    edge_table.createOrReplaceTempView(view)
     return edge_table.sparkSession.sql(
-        f"WITH RECURSIVE r(ancestor, descendant) AS (SELECT `{parent}`, `{child}` FROM __edges UNION ALL SELECT r.ancestor, e.`{child}` FROM r JOIN __edges e ON r.descendant = e.`{parent}`) SELECT DISTINCT ancestor, descendant FROM r"
+        f"WITH RECURSIVE r(ancestor, descendant) AS (SELECT `{parent}`, `{child}` FROM {view} UNION ALL SELECT r.ancestor, e.`{child}` FROM r JOIN {view} e ON r.descendant = e.`{parent}`) SELECT DISTINCT ancestor, descendant FROM r"
     )

@@ -43,6 +43,32 @@ def curve_shocks(spark: SparkSession, n: int, size: int = 5, seed: int = 42) ->
     )
 
 
+def bond_bursts(spark: SparkSession, n: int, tenors: tuple[str, ...] = ("2Y", "3Y", "5Y", "10Y", "30Y"), venues: tuple[str, ...] = ("Btec", "Fenics", "Dweb"), seed: int = 42) -> DataFrame:
+    """Bursts of one to five quotes at one instant: (ts, seq, tenor, venue, field, value); fields are bid and ask and their sizes."""
+    i = F.col("id")
+    names = lambda given, u: F.element_at(F.array(*map(F.lit, given)), (F.floor(u * len(given)) + 1).cast("int"))
+    burst = spark.range(n).select(F.timestamp_millis(i * 100).alias("ts"), i.alias("burst"), F.explode(F.sequence(F.lit(1), (F.floor(uniform(seed, i) * 5) + 1).cast("int"))).alias("k"))
+    u = lambda s: uniform(seed + s, F.col("burst"), F.col("k"))
+    rows = burst.select("ts", (F.col("burst") * 5 + F.col("k") - 1).alias("seq"), names(tenors, u(1)).alias("tenor"), names(venues, u(2)).alias("venue"), names(("bid", "bidQty", "ask", "askQty"), u(3)).alias("field"), u(4).alias("u"))
+    price = F.when(F.col("field") == "bid", 99.0 + F.col("u")).when(F.col("field") == "ask", 100.0 + F.col("u")).otherwise(F.floor(F.col("u") * 50) * 1e6 + 1e6)
+    return rows.withColumn("value", price).drop("u")
+
+
+def regime_switch(spark: SparkSession, n: int, every: int = 200, calm: float = 0.2, wild: float = 3.0, seed: int = 42) -> DataFrame:
+    """Prices whose noise turns from calm to wild and back every so many rows, with the volatility that says so."""
+    i = F.col("id")
+    rough = F.pmod(F.floor(i / every), F.lit(2)) == 1
+    vol = F.when(rough, wild).otherwise(calm)
+    return spark.range(n).select(F.timestamp_millis(i * 100).alias("ts"), i.alias("seq"), (100.0 + F.sin(i / 53.0) + (uniform(seed, i) - 0.5) * vol).alias("price"), vol.alias("volatility"))
+
+
+def decay_shocks(spark: SparkSession, n: int, every: int = 50, shock: float = 10.0, seed: int = 42) -> DataFrame:
+    """A flat signal with a shock every so many rows, at uneven times, for decays to run down from."""
+    i = F.col("id")
+    jitter = F.floor(uniform(seed, i) * 400).cast("long")
+    return spark.range(n).select(F.timestamp_millis(i * 500 + jitter).alias("ts"), i.alias("seq"), F.when((i > 0) & (F.pmod(i, F.lit(every)) == 0), shock).otherwise(0.0).alias("signal"))
+
+
 def rate_stream(spark: SparkSession, rows_per_second: int = 100, keys: int = 10, seed: int = 42) -> DataFrame:
     """A live feed of keyed values."""
     rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()

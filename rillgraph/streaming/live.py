@@ -7,6 +7,7 @@ gives no order. State is a checkpointed value, so a restarted query goes on wher
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -129,3 +130,34 @@ def to_sink(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     """foreachBatch with a trigger; without an interval, all that is there and then stop."""
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+class Throttled:
+    """A sink that passes a micro-batch on only if ``interval_s`` has passed since the last one passed; others are dropped.
+
+    For pages that show the present: a dropped batch isn't kept for later.
+    """
+
+    def __init__(self, write: Callable[[DataFrame, int], None], interval_s: float, clock: Callable[[], float] = time.monotonic):
+        self.write, self.interval, self.clock = write, interval_s, clock
+        self.last: float | None = None
+        self.passed = self.dropped = 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        now = self.clock()
+        if self.last is not None and now - self.last < self.interval:
+            self.dropped += 1
+            return
+        self.last = now
+        self.passed += 1
+        self.write(batch, number)
+
+
+def backpressure(query) -> dict[str, float]:
+    """How far a running query is behind its source, from its last progress: rows in and out a second, and the share of capacity used."""
+    progress = query.lastProgress
+    if progress is None:
+        return {"input_per_s": 0.0, "processed_per_s": 0.0, "load": 0.0, "behind": 0.0}
+    rate = lambda name: float(progress[name] or 0.0)
+    came, done = rate("inputRowsPerSecond"), rate("processedRowsPerSecond")
+    return {"input_per_s": came, "processed_per_s": done, "load": came / done if done else 0.0, "behind": max(0.0, came - done)}

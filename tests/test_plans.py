@@ -17,7 +17,7 @@ from rillgraph.operators.engine import Engine, Listener
 from rillgraph.operators.scans import recur
 from rillgraph.plans.builder import GraphBuilder
 from rillgraph.plans.compiler import ChangedStretch, compile_graph, strategies
-from rillgraph.plans.explain import edges, lineage
+from rillgraph.plans.explain import edges, init_payload, lineage
 from rillgraph.sources import epochs, feeds
 from rillgraph.streaming import live
 
@@ -393,3 +393,107 @@ def test_ranged_windows_equal_plain_ones(spark, partitions):
     assert len(got) == len(rows)
     for row in got:
         assert all(same(row[n], expected[row["k"], row["seq"]][n]) for n in made)
+
+
+def test_profiles_latencies_and_reports():
+    """Rolling latencies forget what is older than a window; reports sort as asked."""
+    now = [0.0]
+    rolling = telemetry.RollingLatency(10.0, clock=lambda: now[0])
+    for t, ns in [(0, 1000), (4, 1000), (5, 64_000), (9, 64_000), (14, 64_000), (14.9, 64_000)]:
+        now[0] = t
+        rolling.record(ns)
+    assert rolling.summary()["min"] == 64_000 and rolling.summary()["count"] == 4
+    now[0] = 100.0
+    rolling.record(7)
+    assert rolling.summary()["count"] == 1 and rolling.since[1] == 95.0
+    b = GraphBuilder()
+    b.rolling("mean", "SMA", b.scalar_source("x"), 3), b.compute("bad", lambda v: 1 / 0, "x")
+    said = []
+    wired = telemetry.Wired(write=said.append)
+    engine = Engine(b.build(), listeners=(wired,))
+    for i in range(5):
+        engine.update("x", float(i))
+        engine.stabilize(float(i))
+    report = wired.report("count")
+    assert report["errors"] == {"bad": 5} and len(said) == 1 and report["latency"]["count"] == report["rolling"]["count"] == 5
+    assert [r["node"] for r in report["profile"]][0] in ("bad", "mean", "x") and [r["node"] for r in wired.nodes.dump("node")] == ["bad", "mean", "x"]
+
+
+def test_quantiles_and_profile_orders(spark):
+    df = spark.createDataFrame([(k, float(i)) for k in range(2) for i in range(1, 101)], "k int, x double")
+    for exact in (False, True):
+        rows = telemetry.quantiles(df, "x", ["k"], (0.5, 0.99), exact).orderBy("k").collect()
+        assert [(r.n, r.min, r.max, r.avg) for r in rows] == [(100, 1.0, 100.0, 50.5)] * 2
+        assert rows[0].p50 == (50.5 if exact else 50.0) and rows[0].p99 == pytest.approx(99.01 if exact else 99.0)
+    feed = spark.createDataFrame([("b", 1.0), ("a", 5.0), ("b", 2.0)], "node string, value double")
+    order = lambda by: [r.node for r in telemetry.profile(feed, by=by).collect()]
+    assert order("changes") == ["b", "a"] and order("node") == order("max_value") == ["a", "b"]
+
+
+def test_init_payload_and_snapshot(spark):
+    b = GraphBuilder("page")
+    v = b.vector_source("v", 2, headers=["bid", "ask"])
+    b.vector_element("bid", v, 0), b.compute("twice", lambda x: x * 2, "bid")
+    graph = b.build()
+    payload = init_payload(graph)
+    assert json.loads(json.dumps(payload)) == payload
+    assert payload["routing"] == {"v": ["bid"], "bid": ["twice"], "twice": []} and payload["mermaid"].startswith("graph TD")
+    assert payload["edge_labels"][0] == {"from": "v", "to": "bid", "labels": ["vector"]} and set(payload["sources"]) == {"bid", "twice"}
+    rows = spark.createDataFrame([(1, 1, [1.0, NAN], 1.0, float("inf")), (1, 2, [2.0, 3.0], NAN, 4.0), (2, 1, None, None, 8.5)], "k int, seq int, v array<double>, bid double, twice double")
+    docs = {r.k: json.loads(r.snapshot) for r in changes.graph_snapshot(rows, graph, ["k"], ["seq"]).collect()}
+    nodes = {n["name"]: n for n in docs[1]["nodes"]}
+    assert docs[1]["name"] == "page" and nodes["v"]["headers"] == ["bid", "ask"] and nodes["v"]["value"] == [2.0, 3.0]
+    assert nodes["bid"]["value"] is None and nodes["bid"]["inputs"] == {"vector": "v"} and nodes["twice"]["value"] == 4.0
+    assert {n["name"]: n["value"] for n in docs[2]["nodes"]} == {"v": None, "bid": None, "twice": 8.5}
+    then = changes.replay(rows, ["k"], ["seq"], F.col("seq") <= 1).orderBy("k").collect()
+    assert [(r.k, r.seq) for r in then] == [(1, 1), (2, 1)]
+
+
+def test_throttled_sinks_and_backpressure():
+    now, seen = [0.0], []
+    sink = live.Throttled(lambda batch, n: seen.append(n), 1.0, clock=lambda: now[0])
+    for n, t in enumerate([0.0, 0.5, 0.99, 1.0, 1.5, 5.0]):
+        now[0] = t
+        sink(None, n)
+    assert seen == [0, 3, 5] and (sink.passed, sink.dropped) == (3, 3)
+
+    class Query:
+        lastProgress = {"inputRowsPerSecond": 200.0, "processedRowsPerSecond": 100.0}
+
+    assert live.backpressure(Query()) == {"input_per_s": 200.0, "processed_per_s": 100.0, "load": 2.0, "behind": 100.0}
+    Query.lastProgress = None
+    assert live.backpressure(Query())["load"] == 0.0
+
+
+def test_more_feeds(spark):
+    bonds = feeds.bond_bursts(spark, 50).collect()
+    per = {}
+    for r in bonds:
+        per.setdefault(r.ts, []).append(r.seq)
+    assert all(1 <= len(s) <= 5 and len(set(s)) == len(s) for s in per.values()) and {r.field for r in bonds} == {"bid", "ask", "bidQty", "askQty"}
+    regimes = feeds.regime_switch(spark, 800).collect()
+    spread = lambda part: max(r.price for r in part) - min(r.price for r in part)
+    assert {r.volatility for r in regimes[:200]} == {0.2} and {r.volatility for r in regimes[200:400]} == {3.0} and spread(regimes[200:400]) > spread(regimes[:200])
+    shocks = feeds.decay_shocks(spark, 200).collect()
+    assert [r.seq for r in shocks if r.signal] == [50, 100, 150] and all(a.ts < b.ts for a, b in zip(shocks, shocks[1:]))
+    assert feeds.decay_shocks(spark, 200).collect() == shocks
+
+
+def test_builder_templates(spark):
+    """A template adds a part of the graph per prefix, through the builder."""
+
+    def leg(b, prefix, config):
+        x = b.scalar_source(f"{prefix}.x")
+        return b.rolling(f"{prefix}.mean", "SMA", x, config["window"])
+
+    class Doubles:
+        def register(self, registry):
+            registry.register("DOUBLED", ("input",), lambda p: lambda x: 2 * x)
+
+    b = GraphBuilder(registry=default_registry().install(Doubles()))
+    a, c = b.template("a", leg, {"window": 2}), b.template("c", leg, {"window": 3})
+    b.node("gap", "SPREAD", {"a": a, "b": b.node("twice", "DOUBLED", {"input": c})})
+    graph = b.build()
+    rows = rows_of(8, 80, 2, ["a.x", "c.x"])
+    df = frame(spark, rows, ["ax", "cx"]).withColumnsRenamed({"ax": "a.x", "cx": "c.x"})
+    agree(compile_graph(graph, ["gap"]).run(df, key=["key"]).collect(), simulated(graph, rows, ["a.x", "c.x"], ["gap"]), ["gap"])
