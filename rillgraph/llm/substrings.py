@@ -19,8 +19,8 @@ name with a chance of 2^-64.
 
 Defined results. A null text is empty. Texts shorter than ``length`` lose
 nothing. A null id comes last; rows that repeat an id come in the order of a
-hash of their texts, and rows that repeat id and text are one document. Other
-columns are not looked at.
+hash of their texts, and rows that repeat id and text are one document. Ids are
+integers, or what casts to them; a null counts as the largest. Other columns are not looked at.
 
 Scale: equal texts are judged once. Shuffled: a name for every 35 bytes or so,
 the texts once, and the surroundings of repeated names. A bucket of more than
@@ -45,6 +45,8 @@ from .common import BROADCAST_IDS, arrow_map, binaries, text_bytes, written
 COVER_GRAM = 32
 #: Suffix runs that one bucket gathers at most.
 HOT = 512
+#: Documents that hold one name of the cover before it is joined apart.
+MANY = 4096
 #: Names of hot suffixes that a task remembers.
 SEEN = 200_000
 #: Bytes of runs sorted in one go.
@@ -260,18 +262,26 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = COVER_GRAM
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256 and spans [from_byte, to_byte)."""
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = F.col(id_col).cast("long")
+    docs = docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     # Equal texts: all but the first go whole.
-    keyed = written(docs.select("id", "h", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), text_bytes().alias("n"), F.when(text_bytes() < length, F.sha2("text", 256)).alias("sha")))
+    keyed = written(docs.select("own", "id", "h", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), text_bytes().alias("n"), F.when(text_bytes() < length, F.sha2("text", 256)).alias("sha")))
     classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k"), "rep")
-    later = written(keyed.join(classes, (F.col("key") == F.col("k")) & (F.col("id") > F.col("rep"))).select("id", "h", "n", "sha"))
+    later = written(keyed.join(classes, (F.col("key") == F.col("k")) & (F.col("id") > F.col("rep"))).select("own", "id", "h", "n", "sha"))
     gone = later.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct()
     small = later.count() <= BROADCAST_IDS
-    first = docs.join(F.broadcast(gone) if small else gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left_anti").select("id", "h", "text")
-
-    cover = written(arrow_map(first, _cover(length, gram), "id long, h long, names array<long>")).select("id", "h", F.explode("names").alias("name"))
-    repeated = cover.groupBy("name").count().where("count > 1").select(F.col("name").alias("r"), (F.col("count") > hot).alias("hot"))
-    listed = cover.join(repeated, F.col("name") == F.col("r")).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("name", "hot")).alias("found"))
+    first = docs.join(F.broadcast(gone) if small else gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left_anti").select("own", "id", "h", "text")
+
+    cover = written(arrow_map(first.select("id", "h", "text"), _cover(length, gram), "id long, h long, names array<long>")).select("id", "h", F.explode("names").alias("name"))
+    repeated = written(cover.groupBy("name").count().where("count > 1").select(F.col("name").alias("r"), "count", (F.col("count") > hot).alias("hot")))
+    # a name that many documents hold would make one task of the join; there are at most BROADCAST_IDS such names
+    found_in = repeated.agg(F.sum("count")).first()[0] or 0
+    many = max(MANY, found_in // max(1, BROADCAST_IDS))
+    met = F.col("name") == F.col("r")
+    often = F.broadcast(repeated.where(F.col("count") > many).drop("count"))
+    spread = cover.join(often, met)
+    joined = cover.join(often.select("r"), met, "left_anti").join(repeated.where(F.col("count") <= many).drop("count"), met)
+    listed = spread.union(joined).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("name", "hot")).alias("found"))
     listed = listed.select("i", "g", F.col("found.name").alias("names"), F.col("found.hot").alias("hots"))
     same = (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))
     runs = written(arrow_map(first.join(listed, same).select("id", "h", "text", "names", "hots").sortWithinPartitions("id", "h"), _runs(length, gram), RUNS))
@@ -283,10 +293,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = COVER_GRAM
     decided = runs.where("upto IS NOT NULL").select("id", "h", "at", "upto")
     gathered = cold.union(warm).union(decided).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("at", "upto")).alias("spans"))
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from_byte:long,to_byte:long>>"
-    kept = arrow_map(first.join(gathered, same, "left").select("id", "text", "spans"), _remove, out)
+    kept = arrow_map(first.join(gathered, same, "left").select(F.col("own").alias("id"), "text", "spans"), _remove, out)
     whole = F.col("n") >= length
     copies = later.select(
-        "id",
+        F.col("own").alias("id"),
         F.col("n").alias("n_bytes"),
         F.when(whole, F.col("n")).otherwise(0).alias("n_removed"),
         F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
@@ -294,4 +304,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = COVER_GRAM
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("from_byte"), F.col("n").alias("to_byte")))).otherwise(F.array().cast("array<struct<from_byte:long,to_byte:long>>")).alias("spans"),
     )
     every = kept.union(copies)
-    return every.select(F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), *every.columns[1:])
+    return every.withColumnRenamed("id", id_col)
