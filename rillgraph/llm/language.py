@@ -13,15 +13,17 @@ that sorts first. Rows without a language, and empty texts, teach nothing.
 Repeated rows are judged one by one; only the named columns are looked at.
 
 Scale: the training sample is bounded by ``max_train`` documents (expected
-number, chosen by a hash of their ids), so the model is bounded too: at most ``max_words``
-words and ``max_grams`` n-grams a length, a broadcast of some tens of MB.
-Prediction is one pass over the text without a shuffle.
+number, chosen by a hash of their ids), and the model with it: it holds every word and
+n-gram that the sample has ``min_count`` times, a broadcast of some tens of MB.
+Prediction is one pass over the text without a shuffle; a word is scored once a batch.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled documents, known words, n-grams of one length.
-MAX_TRAIN, MAX_WORDS, MAX_GRAMS, MAX_GRAM = 20_000, 100_000, 40_000, 4
+#: Labelled documents of the fit at most, and the longest n-grams.
+MAX_TRAIN, MAX_GRAM = 20_000, 4
 #: A word seen so many times in the sample counts as known.
 MIN_COUNT = 2
 #: Memory of unseen words that one task keeps.
@@ -50,41 +52,52 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-class Model:
-    """Log frequencies by language for words and for n-grams of each length."""
-
-    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: list[dict[str, int]], gram_logs: list[np.ndarray]):
-        self.langs, self.words, self.word_logs, self.grams, self.gram_logs = langs, words, word_logs, grams, gram_logs
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Backoff: the longest n-grams of which any is known."""
-        for n in range(len(self.grams), 0, -1):
-            known, logs = self.grams[n - 1], self.gram_logs[n - 1]
-            if found := [i for g in grams_of(word, n) if (i := known.get(g)) is not None]:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def scores(self, words: list[str], memo: dict[str, np.ndarray]) -> np.ndarray:
-        get = self.words.get
-        found = [get(w, -1) for w in words]
-        total = self.word_logs[[i for i in found if i >= 0]].sum(axis=0, dtype=np.float64)
-        for w, i in zip(words, found, strict=True):
-            if i < 0:
-                if (v := memo.get(w)) is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    v = memo[w] = self.unseen(w)
-                total = total + v
-        return total / len(words)
-
-    def predict(self, text: str | None, memo: dict[str, np.ndarray], sharpness: float) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        s = self.scores(words, memo) * min(len(words), sharpness)
+class Model(NamedTuple):
+    """Log frequencies by language for words and for n-grams of each length; it travels as a plain tuple."""
+
+    langs: list[str]
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: list[dict[str, int]]
+    gram_logs: list[np.ndarray]
+
+
+def unseen(model: tuple, word: str) -> np.ndarray:
+    """Backoff: the longest n-grams of which any is known."""
+    langs, _, _, grams, gram_logs = model
+    for n in range(len(grams), 0, -1):
+        known, logs = grams[n - 1], gram_logs[n - 1]
+        if found := [i for g in grams_of(word, n) if (i := known.get(g)) is not None]:
+            return logs[found].mean(axis=0)
+    return np.zeros(len(langs), np.float32)
+
+
+def predict(model: tuple, texts: list[str | None], memo: dict[str, np.ndarray], sharpness: float) -> list[tuple[str, float]]:
+    """Language and score of each text. Each distinct word is looked up once; texts take sums over its rows."""
+    langs, known, word_logs, _, _ = model
+    number: dict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    listed = [np.fromiter(map(number.__getitem__, words_of(t)), np.int64) for t in texts]
+    out = [(UNDETERMINED, 0.0)] * len(texts)
+    some = [i for i, words in enumerate(listed) if len(words)]
+    if not some or not langs:
+        return out
+    at = np.fromiter((known.get(w, -1) for w in number), np.int64, len(number))
+    rows = np.empty((len(number), len(langs)), np.float32)
+    rows[at >= 0] = word_logs[at[at >= 0]]
+    for k, w in [(k, w) for k, (w, i) in enumerate(zip(number, at.tolist(), strict=True)) if i < 0]:
+        if (v := memo.get(w)) is None:
+            if len(memo) >= MEMO:
+                memo.clear()
+            v = memo[w] = unseen(model, w)
+        rows[k] = v
+    for i in some:
+        words = listed[i]
+        s = rows[words].sum(axis=0, dtype=np.float64) / len(words) * min(len(words), sharpness)
         e = np.exp(s - s.max())
         best = int(s.argmax())
-        return self.langs[best], float(e[best] / e.sum())
+        out[i] = langs[best], float(e[best] / e.sum())
+    return out
 
 
 def _logs(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
@@ -95,7 +108,7 @@ def _logs(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarr
     return {k: i for i, k in enumerate(keys)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_gram: int = MAX_GRAM, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled documents; Spark counts, the driver gets bounded tables."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = labelled.count()
@@ -106,7 +119,7 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WOR
     counts = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
         langs = sorted(r[0] for r in counts.select("lang").distinct().toLocalIterator())
-        tables = [_logs(*_top(counts.withColumnRenamed("word", "key"), langs, max_words, min_count))]
+        tables = [_logs(*_known(counts.withColumnRenamed("word", "key"), langs, min_count))]
         for n in range(1, max_gram + 1):
             padded = F.concat(F.lit(" "), "word", F.lit(" ")) if n > 1 else F.col("word")
             size = F.length(padded) - n + 1
@@ -117,17 +130,16 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WOR
                 .groupBy("lang", "key")
                 .agg(F.sum("n").alias("n"))
             )
-            tables.append(_logs(*_top(grams, langs, max_grams, min_count)))
+            tables.append(_logs(*_known(grams, langs, min_count)))
     finally:
         counts.unpersist()
     return Model(langs, tables[0][0], tables[0][1], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]])
 
 
-def _top(counts: DataFrame, langs: list[str], most: int, min_count: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent keys, at most ``most``, and their counts by language."""
+def _known(counts: DataFrame, langs: list[str], min_count: int) -> tuple[list[str], np.ndarray]:
+    """Keys seen often enough, in order, and their counts by language; as many as the sample has."""
     by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
-    wide = counts.groupBy("key").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= min_count)
-    found = wide.orderBy(F.col("all").desc(), "key").limit(most).drop("all").toArrow()
+    found = counts.groupBy("key").agg(F.sum("n").alias("all"), *by_lang).where(F.col("all") >= min_count).drop("all").toArrow().sort_by("key")
     columns = [found.column(f"c{i}").to_numpy() for i in range(len(langs))]
     return found.column("key").to_pylist(), np.column_stack(columns).astype(np.float64) if columns else np.empty((0, 0))
 
@@ -144,12 +156,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identify(docs: DataFrame, model: Model, *, sharpness: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [shared.value.predict(t, memo, sharpness) for t in batch.column(1).to_pylist()]
+            found = predict(shared.value, batch.column(1).to_pylist(), memo, sharpness)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[batch.schema.field(0).name, "lang_pred", "score"])
 
     return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
@@ -157,12 +169,12 @@ def identify(docs: DataFrame, model: Model, *, sharpness: float = 20.0, id_col:
 
 def keep_identified(docs: DataFrame, model: Model, *, min_score: float = 0.0, sharpness: float = 20.0, text_col: str = "text") -> DataFrame:
     """The documents, all columns, with a language and at least ``min_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [shared.value.predict(t, memo, sharpness) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            found = predict(shared.value, batch.column(batch.schema.get_field_index(text_col)).to_pylist(), memo, sharpness)
             yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= min_score for f in found], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)
