@@ -33,9 +33,9 @@ from .common import BROADCAST_IDS, written
 
 PHI = 0.6180339887498949
 #: Slots numbered in one window, and cells that the unit interval is looked up by.
-CHUNK, CELLS = 1 << 16, 1024
+CHUNK, CELLS = 1 << 12, 1024
 #: Rows, about, in one hash bucket of a source's shuffled stream.
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 2048
 
 
 def word_count(column):
