@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 #: the class excludes is ASCII, so bytes and code points give the same words.
 FOLDED_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-#: Rows of one Arrow batch at most; a bound for a worker's memory, since texts
-#: may be long.
-BATCH_ROWS = 512
+#: Rows that a worker takes up in one go at most, and bytes that Spark sends it at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,17 +45,27 @@ def binaries(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with batches bounded in bytes, since texts may be long, and taken up by slices of a bounded number of rows.
+
+    Batches of narrow rows don't come near the bound, so other plans of the session keep theirs.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = conf.get(key).removesuffix("b")
+    if set_to.isdigit() and int(set_to) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(i, BATCH_ROWS) for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; only a local session may make one itself."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rillgraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -75,7 +84,15 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def text_bytes(name: str = "text") -> Column:

@@ -2,7 +2,7 @@
 
 Each round joins links with their nodes' smallest neighbour; a node's links are
 never gathered in one place, so a hub with a third of all links is split like
-any skewed join. Rounds end when no link moves; each cuts the lineage.
+any skewed join. Rounds end when no link moves; each cuts the lineage, and the table of the round before goes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):
-        edges = written(_star(edges))
+        before, edges = edges, written(_star(edges))
+        forget(before)
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == mark:
             break

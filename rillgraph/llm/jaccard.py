@@ -28,8 +28,8 @@ null component. Ids are integers, or what casts to them. Other columns are not l
 
 Scale: no pairs inside a class or of near copies of one text are listed; heavy elements stay
 out of prefixes at any size of the table, so lists are short unless a set has hardly anything else;
-blocks of over BLOCK entries are dealt in parts of that size. Links settle in at most 60 rounds, enough for
-chains of 2^30 documents and more; beyond that the operator raises an error rather than return unsettled groups.
+blocks of over BLOCK entries are dealt in parts of that size. Links settle in rounds whose number grows with the logarithm of the
+longest chain; after 60 of them the operator raises an error rather than return unsettled groups.
 Large families are dealt in slots. Broadcast: the heavy elements up to MAX_HEAVY of them (a shuffle beyond), and tables up to a checked count.
 """
 

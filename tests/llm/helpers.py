@@ -361,3 +361,43 @@ def random_page(r):
 
     body = "".join(part(3) for _ in range(r.randrange(1, 6)))
     return f"<html><head><title>t</title><style>x</style></head><body>{body}</body></html>" if r.random() < 0.8 else body
+
+
+def mixture(rows, block_words=256, weights=(5, 2, 1), share=1.5, most=2.0):
+    """What a mix takes of each row (place, id, source, size), slot by slot and word by word."""
+    phi = 0.6180339887498949
+    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    size = {s: sum(r[3] for r in rows if r[2] == s) for s in sources}
+    target, capped = {}, set()
+    while True:
+        left = share * sum(size.values()) - sum(most * size[s] for s in capped)
+        of = sum(weight[s] for s in sources if s not in capped)
+        target = {s: most * size[s] if s in capped else left * weight[s] / of for s in sources}
+        over = {s for s in sources if s not in capped and target[s] > most * size[s] * (1 + 1e-12)}
+        if not over:
+            break
+        capped |= over
+    mixed = [s for s in sources if size[s]]
+    take = {s: math.floor(target[s] + 0.5) for s in mixed}
+    blocks = {s: -(-size[s] // block_words) for s in mixed}
+    need = {s: take[s] // size[s] * blocks[s] + -(-(take[s] % size[s]) // block_words) for s in mixed}
+    slots = sum(need.values())
+    points = Counter()
+    for i in range(slots):
+        u = ((i >> 20) * ((phi * (1 << 20)) % 1.0) + (i % (1 << 20)) * phi + phi / 2) % 1.0
+        low = 0
+        for s in mixed:
+            points[s] += low / slots <= u < (low + need[s]) / slots
+            low += need[s]
+    assert all(abs(points[s] - need[s]) <= 4 + math.log2(slots) for s in mixed)  # low discrepancy
+    taken = Counter()
+    for s in mixed:
+        words: list[int] = []
+        for k in sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (rows[k][0] & (1 << 64) - 1, rows[k][1] is not None, rows[k][1] or 0, rows[k][3])):
+            words += [k] * rows[k][3]
+        for rank in range(need[s]):  # those that the schedule gave and those added
+            block, turn = rank % blocks[s], rank // blocks[s]
+            part = words[block * block_words : (block + 1) * block_words]
+            taken.update(part[: max(0, take[s] - turn * size[s] - block * block_words)])
+    return [taken[k] for k in range(len(rows))], target

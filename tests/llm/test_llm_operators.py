@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import LONG, SCHEMA, contaminated, dedup_lines, folded, frame, jaccard, odd_rows, page_text, quality, random_page, repeats, spaced
+from helpers import LONG, SCHEMA, contaminated, dedup_lines, folded, frame, jaccard, mixture, odd_rows, page_text, quality, random_page, repeats, spaced
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -140,8 +140,28 @@ def test_smoothing_is_a_mean(xs, sigma):
     assert len(got) == len(xs) and min(xs) - 1e-6 <= got.min() and got.max() <= max(xs) + 1e-6
 
 
+def test_running_hashes(spark, monkeypatch):
+    """A hash for each first part, the same for the same words, at any length of the stretches."""
+    words = [f"w{i % 5}" for i in range(23)]
+    for stretch in (1, 4, 256):
+        monkeypatch.setattr(lines, "STRETCH", stretch)
+        rows = spark.createDataFrame([(words[:k],) for k in range(24)], "w array<string>").select(F.size("w").alias("n"), lines._running(F.col("w")).alias("h")).collect()
+        whole = [x.h for x in rows if x.n == 23][0]
+        assert len(whole) == 24 == len(set(whole)) and all(x.h == whole[: x.n + 1] for x in rows)
+
+
+def test_lines_of_any_length(spark):
+    """A line of a million words and a near copy: in time, and the copy goes."""
+    line = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, line, "en", "s"), (2, line.replace("w777 ", "x "), "en", "s"), (3, line + " y z", "en", "s"), (2**63 - 1, "a b", "en", "s"), (None, "a b", "en", "s")]
+    got = {x.doc_id: x for x in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert [got[i].n_near for i in (1, 2, 3)] == [0, 1, 0] and got[2].text == "" and got[3].text == line + " y z"
+    assert got[2**63 - 1].text == got[None].text == "a b"  # one id, one text: one document
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_lines(spark, docs, rows, none, small, monkeypatch):
+    monkeypatch.setattr(lines, "STRETCH", 256 if small else 3)
     if not small:
         monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
     r = random.Random(4)
@@ -197,10 +217,13 @@ def nothing_small(monkeypatch):
 def test_substrings(spark, rows, hot, gram, small, monkeypatch):
     if not small:
         nothing_small(monkeypatch)
-    some = [r for r in rows if r[1] is None or len(r[1]) < 5000]
+    elif hot == 512:
+        monkeypatch.setattr(substrings, "MANY", 2)
+    some = [r for r in rows if r[1] is None or len(r[1]) < 5000] + [(2**63 - 1, "the largest id " * 9, "en", "s")]
     expected = repeats(some)
     got = substrings.remove_repeats(frame(spark, some), hot=hot, gram=gram).collect()
     assert len(got) == len(some)
+    assert sum(r.doc_id == 2**63 - 1 for r in got) == 1
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[1 << 62 if r.doc_id is None else r.doc_id], r.doc_id
     assert any(0 < r.n_removed < r.n_bytes for r in got)
@@ -228,9 +251,18 @@ def test_language(spark, rows, none):
         assert 0 <= x.score <= 1
         if x.doc_id is not None and x.doc_id < 120 and not language.words_of(by.get(x.doc_id)):
             assert (x.lang_pred, x.score) == ("und", 0.0)
-    assert model.predict("bababebe", {}, 20)[0] == "aa"  # by n-grams, as the word is new
+    assert language.predict(tuple(model), ["bababebe"], {}, 20)[0][0] == "aa"  # by n-grams, as the word is new
+    # every score by the definition, word by word
+    for text, (lang, score) in zip([t[1] for t in texts[100:160]], language.predict(tuple(model), [t[1] for t in texts[100:160]], {}, 20)):
+        words = language.words_of(text)
+        rows = [model.word_logs[model.words[w]] if w in model.words else language.unseen(tuple(model), w) for w in words]
+        s = [sum(float(r[k]) for r in rows) / len(words) * min(len(words), 20) for k in range(len(model.langs))]
+        share = [math.exp(x - max(s)) for x in s]
+        assert lang == model.langs[s.index(max(s))] and score == pytest.approx(max(share) / sum(share), rel=1e-5)
     kept = language.keep_identified(frame(spark, odd_rows()), model)
     assert kept.where("text IS NULL OR text = ''").count() == 0
+    # a null id is trained on and not held out
+    assert [x.h for x in frame(spark, [(None, "ba", "aa", "s")]).select(language.held_out().alias("h")).collect()] == [False]
     unfit = language.fit(none)
     assert {x.lang_pred for x in language.identify(frame(spark, texts[:3]), unfit).collect()} == {"und"}
     assert language.identify(none, model).count() == 0
@@ -263,6 +295,9 @@ def test_mixing(docs, rows, none):
         mine = [x for x in got if x.source == s]
         assert mine[0].target == pytest.approx(target[s]) and mine[0].source_size == size[s]
         assert sum(x.taken for x in mine) == round(target[s])
+    placed = docs.select("doc_id", "source", F.xxhash64(F.lit(7), "doc_id", "source").alias("place"), mixing.word_count(F.col("text")).alias("size")).collect()
+    expected, _ = mixture([(x.place, x.doc_id, x.source, x["size"]) for x in placed], 16)
+    assert sorted((str(x.doc_id), str(x.source), x.size, x.taken) for x in got) == sorted((str(x.doc_id), str(x.source), x["size"], t) for x, t in zip(placed, expected))
     again = mixing.mix(docs.repartition(7), block_words=16).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(map(key, got)) == sorted(map(key, again))
