@@ -35,11 +35,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", te
         raise ValueError("n_shards must be at least 1")
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        (text_bytes(text_col) + OVERHEAD).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("tie"),
+    # Written, so that finding the ranges and dealing by them read four narrow columns and not the texts.
+    rows = written(
+        docs.select(
+            F.col(id_col).alias("id"),
+            (text_bytes(text_col) + OVERHEAD).alias("size"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("tie"),
+        )
     )
     order = [F.col("id").asc_nulls_last(), F.col("size"), F.col("text_crc32"), F.col("tie")]
     # Written, so that range numbers can't change between the two uses below.
