@@ -119,3 +119,20 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") ->
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = ids.select(F.col("id").alias("__id"))
     return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col("__id"), how)
+
+
+#: Rows of one key beyond which they are joined where they are, not in one task.
+MANY = 4096
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: Column, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined with ``keys``, a written table that has a key's row once and in ``n`` how many of ``rows`` have it.
+
+    Keys of many rows are broadcast, at most BROADCAST_IDS of them, since each stands for its share of all rows; the
+    others are joined by a shuffle. ``n`` doesn't come back. ``how`` is inner or left.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    most = max(MANY, total // max(1, BROADCAST_IDS))
+    often = F.broadcast(keys.where(F.col(n) > most).drop(n))
+    rest = rows.join(often.select(key), on, "left_anti").join(keys.where(F.col(n) <= most).drop(n), on, how)
+    return rows.join(often, on).union(rest)

@@ -39,14 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, arrow_map, binaries, text_bytes, written
+from .common import BROADCAST_IDS, arrow_map, binaries, join_keys, text_bytes, written
 
 #: Bytes of the cover's k-grams.
 COVER_GRAM = 32
 #: Suffix runs that one bucket gathers at most.
 HOT = 512
-#: Documents that hold one name of the cover before it is joined apart.
-MANY = 4096
 #: Names of hot suffixes that a task remembers.
 SEEN = 200_000
 #: Bytes of runs sorted in one go.
@@ -266,22 +264,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = COVER_GRAM
     docs = docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     # Equal texts: all but the first go whole.
     keyed = written(docs.select("own", "id", "h", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), text_bytes().alias("n"), F.when(text_bytes() < length, F.sha2("text", 256)).alias("sha")))
-    classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k"), "rep")
-    later = written(keyed.join(classes, (F.col("key") == F.col("k")) & (F.col("id") > F.col("rep"))).select("own", "id", "h", "n", "sha"))
+    classes = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k"), "rep", "m"))
+    later = written(join_keys(keyed, classes, F.col("key") == F.col("k"), "k", "m").where("id > rep").select("own", "id", "h", "n", "sha"))
     gone = later.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct()
     small = later.count() <= BROADCAST_IDS
     first = docs.join(F.broadcast(gone) if small else gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left_anti").select("own", "id", "h", "text")
 
     cover = written(arrow_map(first.select("id", "h", "text"), _cover(length, gram), "id long, h long, names array<long>")).select("id", "h", F.explode("names").alias("name"))
     repeated = written(cover.groupBy("name").count().where("count > 1").select(F.col("name").alias("r"), "count", (F.col("count") > hot).alias("hot")))
-    # a name that many documents hold would make one task of the join; there are at most BROADCAST_IDS such names
-    found_in = repeated.agg(F.sum("count")).first()[0] or 0
-    many = max(MANY, found_in // max(1, BROADCAST_IDS))
-    met = F.col("name") == F.col("r")
-    often = F.broadcast(repeated.where(F.col("count") > many).drop("count"))
-    spread = cover.join(often, met)
-    joined = cover.join(often.select("r"), met, "left_anti").join(repeated.where(F.col("count") <= many).drop("count"), met)
-    listed = spread.union(joined).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("name", "hot")).alias("found"))
+    listed = join_keys(cover, repeated, F.col("name") == F.col("r"), "r", "count").groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("name", "hot")).alias("found"))
     listed = listed.select("i", "g", F.col("found.name").alias("names"), F.col("found.hot").alias("hots"))
     same = (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))
     runs = written(arrow_map(first.join(listed, same).select("id", "h", "text", "names", "hots").sortWithinPartitions("id", "h"), _runs(length, gram), RUNS))
