@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, written
+from .common import BROADCAST_IDS, join_keys, written
 
 MIN_WORDS = 8
 #: Words whose running hashes are built in one array.
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     )
 
     # Equal lines: the earliest stands for all.
-    equal = written(keyed.groupBy("key").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in ("h0", "h1", "h2", "h3")]))
+    equal = written(keyed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("h0", "h1", "h2", "h3")]))
     # What follows knows a line by 64 bits; near lines are held against each other by their words.
     halves = equal.where(F.col("h0").isNotNull()).select(F.xxhash64("key").alias("key"), F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select(F.col("half").alias("s"))
@@ -139,8 +139,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
         .where(_without(F.col("w1"), F.size("w1"), F.col("i"), F.col("whole")) == _without(F.col("w2"), F.size("w2"), F.col("i"), F.col("whole")))
         .select("place.*", F.lit(True).alias("near"))
     )
-    first = equal.select(F.col("key").alias("k"), "first")
-    copies = keyed.join(first, F.col("key") == F.col("k")).where(place != F.col("first")).select("id", "h", "no", F.lit(False).alias("near"))
+    first = equal.where("n > 1").select(F.col("key").alias("k"), "first", "n")
+    copies = join_keys(keyed.select("id", "h", "no", "key"), first, F.col("key") == F.col("k"), "k", "n").where(place != F.col("first")).select("id", "h", "no", F.lit(False).alias("near"))
     gone = verified.union(copies).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("no", "near")).alias("gone"))
     lines = F.split("text", "\n")
     joined = docs.join(gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left").withColumn("numbers", F.coalesce(F.col("gone.no"), F.array().cast("array<int>")))
