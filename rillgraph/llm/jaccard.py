@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, space_words, text_key, written
+from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, join_keys, space_words, text_key, written
 from .components import components
 
 #: An element in more prefixes than HEAVY goes last; up to MAX_HEAVY such elements are broadcast.
@@ -365,8 +365,9 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     own = sketch.where("key IS NOT NULL AND id IS NOT NULL")
 
     # Equal sets: the smallest id stands for its class.
-    classes = own.groupBy("key").agg(F.min("id").alias("rep"))
-    gone = own.join(classes.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).where("id <> rep").select(F.col("id").alias("i"), F.col("key").alias("k"))
+    classes = written(own.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    same = F.col("key") == F.col("k")
+    gone = join_keys(own.select("id", "key"), classes.where("m > 1"), same, "k", "m").where("id <> rep").select(F.col("id").alias("i"), "k")
     first = own.join(gone, (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
 
     # Families.
@@ -375,14 +376,17 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
 
     # Heavy elements go last.
     heavy = written(first.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") > HEAVY).select("t"))
-    if heavy.count() <= MAX_HEAVY:
-        listed = spark.sparkContext.broadcast(np.sort(heavy.toArrow().column("t").to_numpy()))
-        prefixes = lambda heads: arrow_map(heads, _prefixes(listed, percent), "id long, n long, tokens array<long>, deep boolean")
-    else:
-        prefixes = lambda heads: _ordered(heads, heavy, percent)
-    cut = written(prefixes(first.select("id", "n", "head")))
+    few = heavy.count() <= MAX_HEAVY
+    listed = spark.sparkContext.broadcast(np.sort(heavy.toArrow().column("t").to_numpy())) if few else None
+    kinds = "id long, n long, tokens array<long>, deep boolean"
+    cut = written(arrow_map(first.select("id", "n", "head"), _prefixes(listed, percent), kinds) if few else _ordered(first.select("id", "n", "head"), heavy, percent))
     deep = written(cut.where("deep").select("id").distinct())
-    again = prefixes(arrow_map(by_ids(docs, deep, "left_semi", "id"), _whole_heads(size), "id long, n long, head array<long>"))
+    texts, whole = by_ids(docs, deep, "left_semi", "id"), _whole_heads(size)
+    if few:  # both steps in one worker
+        prefixes = _prefixes(listed, percent)
+        again = arrow_map(texts, lambda batches: prefixes(whole(batches)), kinds)
+    else:
+        again = _ordered(arrow_map(texts, whole, "id long, n long, head array<long>"), heavy, percent)
     label = kin.where("diff IS NOT NULL").select(F.col("id").alias("i"), "f")
     entries = cut.where("NOT deep").union(again).join(label, F.col("id") == F.col("i"), "left")
     entries = written(entries.select("id", "n", "f", "tokens")).select("id", "n", F.coalesce("f", -1 - F.col("id")).alias("f"), F.posexplode("tokens").alias("p", "t"))
@@ -395,8 +399,9 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     pairs = pairs.join(counts_of("a"), F.col("a") == F.col("id_a")).join(counts_of("b"), F.col("b") == F.col("id_b")).select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
     across = _linked(docs, written(arrow_map(pairs, _possible(percent), "a long, b long").distinct()), size, percent)
     found = components(within.union(across))
-    members = classes.withColumnRenamed("key", "k").join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").select("k", F.coalesce("component", "rep").alias("component_id"))
-    return sketch.join(members, (F.col("key") == F.col("k")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    members = written(classes.join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").select("k", "m", F.coalesce("component", "rep").alias("component_id")))
+    rows = sketch.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
+    return join_keys(rows, members, same, "k", "m", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,6 +53,22 @@ def test_decontamination(spark, docs, rows, none, block):
     assert not decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_automaton_is_built_once_a_worker(monkeypatch):
+    """It stays with the broadcast for the tasks that follow, and another block's takes its place."""
+    from pyspark import broadcast
+
+    class Block:
+        def __init__(self, value):
+            self.value = value
+
+    one, two = Block([("1", b"a b c")]), Block([("2", b"d e f")])
+    monkeypatch.setattr(broadcast, "_broadcastRegistry", {1: one, 2: two})
+    first = decontamination._built(one, 10)
+    assert decontamination._built(one, 10) is first and "_built" in one.__dict__
+    decontamination._built(two, 10)
+    assert "_built" not in one.__dict__ and "_built" in two.__dict__
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var x = "<p>no</p>";</script></head><body>
 <nav><ul><li>menu</li></ul></nav><div class="sidebar"><p>side</p></div><div id="cookie-notice">cookies</div>
 <main><article><h1>Head&amp;line</h1><p>First  <b>bold</b>
@@ -162,6 +178,7 @@ def test_lines_of_any_length(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_lines(spark, docs, rows, none, small, monkeypatch):
     monkeypatch.setattr(lines, "STRETCH", 256 if small else 3)
+    monkeypatch.setattr(common, "MANY", 3 if small else 4096)
     if not small:
         monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
     r = random.Random(4)
@@ -213,12 +230,26 @@ def nothing_small(monkeypatch):
         monkeypatch.setattr(module, "BROADCAST_IDS", 0)
 
 
+def test_keys_of_many_rows(spark, monkeypatch):
+    """The join is the same however many rows count as many; all rows come back once."""
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 7}") for i in range(60)] + [(99, None), (98, "none")], "id long, key string")
+    keys = common.written(rows.where("key <> 'none'").groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")))
+    got = {}
+    for many in (1, 10, 4096):
+        monkeypatch.setattr(common, "MANY", many)
+        for how in ("inner", "left"):
+            found = common.join_keys(rows, keys, F.col("key") == F.col("k"), "k", "m", how)
+            assert found.columns == ["id", "key", "k", "least"]
+            got.setdefault(how, []).append(sorted(map(tuple, found.collect()), key=str))
+    assert all(x == v[0] for v in got.values() for x in v) and len(got["left"][0]) == 62 and len(got["inner"][0]) == 60
+
+
 @pytest.mark.parametrize(("hot", "gram", "small"), [(512, 32, True), (2, 60, False)])
 def test_substrings(spark, rows, hot, gram, small, monkeypatch):
     if not small:
         nothing_small(monkeypatch)
     elif hot == 512:
-        monkeypatch.setattr(substrings, "MANY", 2)
+        monkeypatch.setattr(common, "MANY", 2)
     some = [r for r in rows if r[1] is None or len(r[1]) < 5000] + [(2**63 - 1, "the largest id " * 9, "en", "s")]
     expected = repeats(some)
     got = substrings.remove_repeats(frame(spark, some), hot=hot, gram=gram).collect()
@@ -544,6 +575,7 @@ def test_jaccard_blocks_skip_and_lose_nothing(spark):
 def test_jaccard_near_threshold(spark, seed, monkeypatch):
     """Families of copies with all degrees of change, and few enough heavy elements to need whole sets."""
     monkeypatch.setattr(jac, "HEAVY", 3)
+    monkeypatch.setattr(common, "MANY", 4096 if seed else 1)
     if seed:
         nothing_small(monkeypatch)
         monkeypatch.setattr(jac, "MAX_HEAVY", 0)
@@ -560,6 +592,7 @@ def test_jaccard_near_threshold(spark, seed, monkeypatch):
                 w[k : k + r.randrange(2)] = [f"t{r.randrange(60)}"] * r.randrange(2)
             rows.append((i, " ".join(w), "en", "s"))
             i += 1
+    rows += [(i + k, rows[3][1], "en", "s") for k in range(6)]
     expected = jaccard(rows)
     got = {x.doc_id: x.component_id for x in jac.jaccard_groups(frame(spark, rows)).collect()}
     assert got == expected and len(set(expected.values())) > 8
