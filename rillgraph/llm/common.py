@@ -131,8 +131,10 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: Column, key: str, n: str, ho
     Keys of many rows are broadcast, at most BROADCAST_IDS of them, since each stands for its share of all rows; the
     others are joined by a shuffle. ``n`` doesn't come back. ``how`` is inner or left.
     """
-    total = keys.agg(F.sum(n)).first()[0] or 0
+    total, top = (x or 0 for x in keys.agg(F.sum(n), F.max(n)).first())
     most = max(MANY, total // max(1, BROADCAST_IDS))
+    if top <= most:
+        return rows.join(keys.drop(n), on, how)
     often = F.broadcast(keys.where(F.col(n) > most).drop(n))
     rest = rows.join(often.select(key), on, "left_anti").join(keys.where(F.col(n) <= most).drop(n), on, how)
     return rows.join(often, on).union(rest)
