@@ -12,7 +12,9 @@ arguments are not looked at.
 
 Scale: one pass over the text, no shuffle. The benchmark is split into blocks
 of at most ``block_words`` words by a hash of item_id, so a broadcast automaton
-has a fixed bound; more blocks mean more passes, not a larger automaton.
+has a fixed bound; more blocks mean more passes, not a larger automaton. A worker
+builds a block's automaton once for all its tasks. The driver holds the benchmark's texts, which
+are a given list of test items and not the corpus.
 """
 
 from __future__ import annotations
@@ -125,11 +127,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     return df
 
 
+def _built(items, window: int) -> tuple:
+    """The broadcast block's automaton, kept with the broadcast: a worker builds it once, not each task, and holds one at a time."""
+    from pyspark.broadcast import _broadcastRegistry
+
+    if "_built" not in items.__dict__:
+        for other in _broadcastRegistry.values():
+            other.__dict__.pop("_built", None)
+        items._built = build_automaton(items.value, window)
+    return items._built
+
+
 def _scan_pass(items, window: int, finish: str | None):
     """Add a block's hits; in the last pass give the result, the id under the name ``finish``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, automaton = build_automaton(items.value, window)  # once a task
+        numbers, automaton = _built(items, window)
         for batch in batches:
             hits, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             rows: list[list] = [[], [], [], [], []]
@@ -173,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
 
 def _filter_pass(items, window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, automaton = build_automaton(items.value, window)  # once a task
+        numbers, automaton = _built(items, window)
         for batch in batches:
             if automaton is None:
                 yield batch
