@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, join_keys, space_words, text_key, written
+from .common import BROADCAST_IDS, arrow_map, binaries, by_ids, space_words, text_key, written
 from .components import components
 
 #: An element in more prefixes than HEAVY goes last; up to MAX_HEAVY such elements are broadcast.
@@ -365,9 +365,9 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     own = sketch.where("key IS NOT NULL AND id IS NOT NULL")
 
     # Equal sets: the smallest id stands for its class.
-    classes = written(own.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    classes = own.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("rep"))
     same = F.col("key") == F.col("k")
-    gone = join_keys(own.select("id", "key"), classes.where("m > 1"), same, "k", "m").where("id <> rep").select(F.col("id").alias("i"), "k")
+    gone = own.join(classes, same).where("id <> rep").select(F.col("id").alias("i"), "k")
     first = own.join(gone, (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
 
     # Families.
@@ -399,9 +399,8 @@ def jaccard_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col:
     pairs = pairs.join(counts_of("a"), F.col("a") == F.col("id_a")).join(counts_of("b"), F.col("b") == F.col("id_b")).select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
     across = _linked(docs, written(arrow_map(pairs, _possible(percent), "a long, b long").distinct()), size, percent)
     found = components(within.union(across))
-    members = written(classes.join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").select("k", "m", F.coalesce("component", "rep").alias("component_id")))
-    rows = sketch.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
-    return join_keys(rows, members, same, "k", "m", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    members = classes.join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").select("k", F.coalesce("component", "rep").alias("component_id"))
+    return sketch.join(members, same & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
