@@ -22,6 +22,11 @@ def guarded(value: Column, *inputs: Column) -> Column:
     return F.when(reduce(or_, [F.isnan(c) for c in inputs]), nan()).otherwise(value)
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b in floating point: infinite over a zero, by both signs, and NaN for 0 / 0."""
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
 def spread(a: Column, b: Column) -> Column:
     return a - b
 
@@ -42,9 +47,12 @@ def weighted_average(*xs: Column) -> Column:
     return guarded(F.when(weight == 0, nan()).otherwise(F.try_divide(product, weight)), *xs)
 
 
-def harmonic_mean(*xs: Column) -> Column:
+def harmonic_mean(*xs: Column, ieee: bool = False) -> Column:
+    """NaN if an input is zero; with ``ieee`` one over zero is infinite, as in SQL, and the mean 0."""
     if not xs:
         return nan()
+    if ieee:
+        return guarded(over(F.lit(float(len(xs))), reduce(add, [over(F.lit(1.0), x) for x in xs])), *xs)
     s = reduce(add, [F.try_divide(F.lit(1.0), x) for x in xs])
     zero = reduce(or_, [x == 0 for x in xs])
     return guarded(F.when(zero, nan()).when(s == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(float(len(xs))), s)), *xs)

@@ -224,7 +224,7 @@ _stateless("spread", lambda leg1, leg2, direct: C.spread(leg1, leg2), "leg1 - le
 _stateless("tri_arb_spread", lambda leg1, leg2, direct: C.tri_arb_spread(leg1, leg2, direct), "direct - leg1 * leg2")
 _stateless("average", lambda leg1, leg2, direct: C.average(leg1, leg2, direct), "(leg1 + leg2 + direct) / 3")
 _stateless("weighted_average", lambda leg1, leg2, direct: C.weighted_average(leg1, leg2, direct, leg2), "CASE WHEN leg2 + leg2 = 0 THEN NULL ELSE (leg1 * leg2 + direct * leg2) / (leg2 + leg2) END")
-_stateless("harmonic_mean", lambda leg1, leg2, direct: C.harmonic_mean(leg1, leg2, direct), "3 / (1 / leg1 + 1 / leg2 + 1 / direct)")
+_stateless("harmonic_mean", lambda leg1, leg2, direct: C.harmonic_mean(leg1, leg2, direct, ieee=True), "3 / (1 / leg1 + 1 / leg2 + 1 / direct)")
 _stateless("select_mux", lambda leg1, leg2, direct: C.select(C.condition(leg1, ">", 60.0), leg2, direct), "CASE WHEN leg1 > 60 THEN leg2 ELSE direct END")
 
 

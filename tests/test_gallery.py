@@ -37,3 +37,25 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["event_id", "spread", "ewma"] and df.count() == 1000
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def written(spark, folder, values):
+    """Events of one user in order, (type, value); the folder and a connection that has them."""
+    rows = [(i, i, 1, kind, value) for i, (kind, value) in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    df.selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "user_id", "event_type", "value").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return str(folder), con
+
+
+def agrees(spark, folder, con, name):
+    got, expected = plain(gallery.QUERIES[name](spark, folder).toPandas()), plain(con.sql(gallery.ORACLES[name]).df())
+    assert len(got) == len(expected) and got.to_dict("list") == expected.to_dict("list")
+    return got
+
+
+def test_harmonic_mean_of_a_zero_equals_sql(spark, tmp_path):
+    values = [("view", 2.0), ("click", 0.0), ("purchase", 4.0), ("click", 3.0), ("view", -0.0), ("purchase", 0.0), ("view", -3.0), ("purchase", 1.0)]
+    folder, con = written(spark, tmp_path, values)
+    assert list(agrees(spark, folder, con, "harmonic_mean")["harmonic_mean"]).count("nan") == 3  # two rows without all legs, and inf - inf
