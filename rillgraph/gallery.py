@@ -15,7 +15,7 @@ from .functions import kernels as K
 from .functions.cutoffs import vector_changed_column
 from .operators import changes, telemetry
 from .operators.ranged import ranged_rolling
-from .operators.rolling import Rolling, log_return, twap
+from .operators.rolling import Rolling, log_ratio, twap
 from .operators.scans import recur
 from .plans.builder import GraphBuilder
 from .plans.compiler import compile_graph, quoted
@@ -119,7 +119,8 @@ def diff(spark, d):
 
 @query(f"SELECT event_id, round(coalesce(ln(value / lag(value) OVER {_W})), 0), 6) AS log_return FROM events")
 def log_return_query(spark, d):
-    return events(spark, d).select("event_id", six(log_return("value", KEY, ORDER)).alias("log_return"))
+    """NaN, as of 0 / 0, stays NaN here: null never comes out of this SQL."""
+    return events(spark, d).select("event_id", F.round(log_ratio("value", KEY, ORDER), 6).alias("log_return"))
 
 
 QUERIES["log_return"], ORACLES["log_return"] = QUERIES.pop("log_return_query"), ORACLES.pop("log_return_query")

@@ -59,3 +59,13 @@ def test_harmonic_mean_of_a_zero_equals_sql(spark, tmp_path):
     values = [("view", 2.0), ("click", 0.0), ("purchase", 4.0), ("click", 3.0), ("view", -0.0), ("purchase", 0.0), ("view", -3.0), ("purchase", 1.0)]
     folder, con = written(spark, tmp_path, values)
     assert list(agrees(spark, folder, con, "harmonic_mean")["harmonic_mean"]).count("nan") == 3  # two rows without all legs, and inf - inf
+
+
+def test_log_return_at_zeros_equals_sql(spark, tmp_path):
+    values = [("view", v) for v in (2.0, 0.0, 3.0, 0.0, 0.0, -0.0, 4.0, None, 5.0, -1.0, -2.0, 2.0, float("inf"), float("nan"), 1.0, 2.0)]
+    folder, con = written(spark, tmp_path, values)
+    agrees(spark, folder, con, "log_return")
+    # NaN and null apart, too
+    got = {r["event_id"]: r["log_return"] for r in gallery.QUERIES["log_return"](spark, folder).collect()}
+    expected = dict(con.sql(gallery.ORACLES["log_return"]).fetchall())
+    assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in expected.items()} and str(got[4]) == "nan"
