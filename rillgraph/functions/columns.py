@@ -39,11 +39,14 @@ def average(*xs: Column) -> Column:
     return reduce(add, xs) / F.lit(float(len(xs))) if xs else nan()
 
 
-def weighted_average(*xs: Column) -> Column:
+def weighted_average(*xs: Column, ieee: bool = False) -> Column:
+    """NaN if the weights sum to zero; with ``ieee`` the quotient by it."""
     if len(xs) % 2 or not xs:
         return nan()
     weight = reduce(add, xs[1::2])
     product = reduce(add, [v * w for v, w in zip(xs[::2], xs[1::2], strict=True)])
+    if ieee:
+        return guarded(over(product, weight), *xs)
     return guarded(F.when(weight == 0, nan()).otherwise(F.try_divide(product, weight)), *xs)
 
 

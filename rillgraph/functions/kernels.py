@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -78,31 +80,43 @@ def average() -> Kernel:
     return Plain(one, lambda *xs: sum(xs) / len(xs))
 
 
-def weighted_average() -> Kernel:
+def over(a: float, b: float) -> float:
+    """a / b in floating point: infinite over a zero, by both signs, and NaN for 0 / 0."""
+    return a / b if b else a * math.copysign(math.inf, b)
+
+
+def weighted_average(ieee: bool = False) -> Kernel:
+    """NaN if the weights sum to zero; with ``ieee`` the quotient by it."""
+
     def one(*xs):
-        if len(xs) % 2:
+        if len(xs) % 2 or not xs:
             return NAN
-        weight = sum(xs[1::2])
-        return NAN if weight == 0 else sum(v * w for v, w in zip(xs[::2], xs[1::2], strict=True)) / weight
+        weight = reduce(add, xs[1::2])
+        return NAN if weight == 0 and not ieee else over(reduce(add, [v * w for v, w in zip(xs[::2], xs[1::2], strict=True)]), weight)
 
     def many(*xs):
         if len(xs) % 2:
             return np.full(len(xs[0]), NAN)
-        weight = sum(xs[1::2])
-        return np.where(weight == 0, NAN, sum(v * w for v, w in zip(xs[::2], xs[1::2], strict=True)) / weight)
+        weight = reduce(add, xs[1::2])
+        quotient = reduce(add, [v * w for v, w in zip(xs[::2], xs[1::2], strict=True)]) / weight
+        return quotient if ieee else np.where(weight == 0, NAN, quotient)
 
     return Plain(one, many)
 
 
-def harmonic_mean() -> Kernel:
+def harmonic_mean(ieee: bool = False) -> Kernel:
+    """NaN if an input is zero; with ``ieee`` one over zero is infinite, and the mean 0."""
+
     def one(*xs):
-        if not xs or any(x == 0 for x in xs):
+        if not xs or not ieee and any(x == 0 for x in xs):
             return NAN
-        s = sum(1.0 / x for x in xs)
-        return math.inf if s == 0 else len(xs) / s
+        s = reduce(add, [over(1.0, x) for x in xs])
+        return math.inf if s == 0 and not ieee else over(len(xs), s)
 
     def many(*xs):
-        s = sum(1.0 / x for x in xs)
+        s = reduce(add, [1.0 / x for x in xs])
+        if ieee:
+            return len(xs) / s
         zero = np.any([x == 0 for x in xs], axis=0)
         return np.where(zero, NAN, np.where(s == 0, np.inf, len(xs) / s))
 

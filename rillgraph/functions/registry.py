@@ -136,6 +136,14 @@ def _whole(p: dict, key: str, default: int) -> int:
     return default if p.get(key) is None else int(float(p[key]))
 
 
+def flag(p: dict, key: str) -> bool:
+    """True, or the text of it: a template fills properties with strings."""
+    given = str(p.get(key, False)).lower()
+    if given not in ("true", "false"):
+        raise ValueError(f"{key} must be true or false")
+    return given == "true"
+
+
 def _comparison(p: dict):
     operator, threshold = p.get("operator", ">"), p.get("threshold", 0.0)
     if callable(operator):
@@ -166,8 +174,8 @@ def default_registry() -> Registry:
     scalar("SPREAD", ("a", "b"), lambda p: K.spread())
     scalar("TRI_ARB_SPREAD", ("leg1", "leg2", "direct"), lambda p: K.tri_arb())
     scalar("AVERAGE", None, lambda p: K.average())
-    scalar("WEIGHTED_AVG", None, lambda p: K.weighted_average())
-    scalar("HARMONIC_MEAN", None, lambda p: K.harmonic_mean())
+    scalar("WEIGHTED_AVG", None, lambda p: K.weighted_average(flag(p, "ieee")))
+    scalar("HARMONIC_MEAN", None, lambda p: K.harmonic_mean(flag(p, "ieee")))
     for name, kernel in (("SMA", K.Sma), ("ROLLING_MAX", K.RollingMax), ("ROLLING_MIN", K.RollingMin), ("ROLLING_SUM", K.RollingSum), ("ROLLING_VARIANCE", K.RollingVariance)):
         scalar(name, one, lambda p, k=kernel: k(_whole(p, "window", 10)))
     scalar("HIST_VOL", ("logReturn",), lambda p: K.HistVol(_whole(p, "window", 10)))

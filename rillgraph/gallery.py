@@ -448,7 +448,7 @@ def bond_graph(spark, d):
 
 
 def stress_graph():
-    """Thirteen nodes over three sources, an instance a key."""
+    """Thirteen nodes over three sources, an instance a key; divisions by zero as in SQL."""
     b = GraphBuilder("stress")
     s1, s2, s3 = (b.scalar_source(f"s{i}") for i in (1, 2, 3))
     mean = b.node("mean", "AVERAGE", {"1": s1, "2": s2, "3": s3})
@@ -457,9 +457,9 @@ def stress_graph():
     sma = b.rolling("sma", "SMA", move, 10)
     trend = b.node("trend", "MACD", {"input": sma})
     gap = b.node("gap", "SPREAD", {"a": trend, "b": s1})
-    harmonic = b.node("harmonic", "HARMONIC_MEAN", {"1": gap, "2": s2})
+    harmonic = b.node("harmonic", "HARMONIC_MEAN", {"1": gap, "2": s2}, ieee=True)
     arb = b.node("arb", "TRI_ARB_SPREAD", {"leg1": harmonic, "leg2": smooth, "direct": sma})
-    weighted = b.node("weighted", "WEIGHTED_AVG", {"0a": arb, "0b": s1, "1a": gap, "1b": s2})
+    weighted = b.node("weighted", "WEIGHTED_AVG", {"0a": arb, "0b": s1, "1a": gap, "1b": s2}, ieee=True)
     b.node("final", "AVERAGE", {"1": weighted, "2": s1})
     return b.build()
 
@@ -468,6 +468,12 @@ def stress_rows(spark, d):
     return legs(spark, d, filled=False).withColumnsRenamed({n: f"s{i}" for i, n in enumerate(LEGS, start=1)})
 
 
+def stress_shown(made: DataFrame) -> DataFrame:
+    """Null before all sources are there; NaN after that is of 0 / 0 and stays."""
+    final = F.round(F.when(~F.isnan("smooth"), F.col("final")), 3) + 0.0
+    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), final.alias("final"))
+
+
 @query(
     f"WITH RECURSIVE {_LEGS}, c AS (SELECT user_id, event_id, leg1 AS s1, leg2 AS s2, direct AS s3, row_number() OVER {_W}) AS rn FROM l WHERE leg1 IS NOT NULL AND leg2 IS NOT NULL AND direct IS NOT NULL), "
     "r AS (SELECT user_id, event_id, rn, s1, s2, (s1 + s2 + s3) / 3 AS w, [CAST(0 AS DOUBLE)] AS ds, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS g FROM c WHERE rn = 1 UNION ALL "
@@ -479,7 +485,7 @@ def stress_rows(spark, d):
 )
 def stress_template(spark, d):
     made = compile_graph(stress_graph(), ["smooth", "trend", "final"], "every_row").run(stress_rows(spark, d), key=KEY, order=ORDER)
-    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), (F.round(F.when(~F.isnan("final"), F.col("final")), 3) + 0.0).alias("final"))
+    return stress_shown(made)
 
 
 # The incremental reading step by step: a row says which nodes run (their inputs moved), and what is carried on else. Mean,
@@ -499,7 +505,7 @@ def stress_template(spark, d):
 def stress_incremental(spark, d):
     """The same graph in its incremental reading."""
     made = compile_graph(stress_graph(), ["smooth", "trend", "final"]).run(stress_rows(spark, d), key=KEY, order=ORDER)
-    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), (F.round(F.when(~F.isnan("final"), F.col("final")), 3) + 0.0).alias("final"))
+    return stress_shown(made)
 
 
 @query(f"WITH {_LEGS} SELECT event_id, round(CASE WHEN leg1 IS NULL OR leg2 IS NULL THEN NULL ELSE greatest(leg1, leg2) * 2 END, 6) AS made FROM l")

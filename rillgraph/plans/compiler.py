@@ -36,6 +36,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions.cutoffs import changed_array, changed_column
 from ..functions.kernels import NAN
+from ..functions.registry import flag
 from ..operators.engine import Engine
 from ..operators.rolling import Rolling, log_return
 from ..operators.scans import doubles, sorted_by_key, stretches
@@ -211,8 +212,10 @@ def _expression(graph: GraphSpec, n, key: list[str], order: list[str], columns:
     names = columns or [quoted(p) for _, p in graph.registry.ordered_inputs(n)]
     inputs = [F.col(p) for p in names]
     p = n.properties
+    if n.type in ("WEIGHTED_AVG", "HARMONIC_MEAN"):
+        return {"WEIGHTED_AVG": C.weighted_average, "HARMONIC_MEAN": C.harmonic_mean}[n.type](*inputs, ieee=flag(p, "ieee"))
     if n.type in _STATELESS:
-        return {"SPREAD": C.spread, "TRI_ARB_SPREAD": C.tri_arb_spread, "AVERAGE": C.average, "WEIGHTED_AVG": C.weighted_average, "HARMONIC_MEAN": C.harmonic_mean}[n.type](*inputs)
+        return {"SPREAD": C.spread, "TRI_ARB_SPREAD": C.tri_arb_spread, "AVERAGE": C.average}[n.type](*inputs)
     if n.type == "CONDITION":
         return C.condition(inputs[0], p.get("operator", ">"), as_float(p.get("threshold"), 0.0))
     if n.type == "SELECT":

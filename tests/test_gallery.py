@@ -69,3 +69,13 @@ def test_log_return_at_zeros_equals_sql(spark, tmp_path):
     got = {r["event_id"]: r["log_return"] for r in gallery.QUERIES["log_return"](spark, folder).collect()}
     expected = dict(con.sql(gallery.ORACLES["log_return"]).fetchall())
     assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in expected.items()} and str(got[4]) == "nan"
+
+
+def zeros_of_the_stress_graph():
+    return [("view", 2.0), ("click", 0.0), ("purchase", 4.0), ("view", 3.0), ("error", 1.0), ("view", 0.0), ("click", 5.0), ("view", -5.0), ("view", 6.0), ("click", -0.0), ("view", 1.0)]
+
+
+def test_incremental_stress_graph_at_zeros_equals_sql(spark, tmp_path):
+    folder, con = written(spark, tmp_path, zeros_of_the_stress_graph())
+    final = list(agrees(spark, folder, con, "stress_incremental")["final"])
+    assert final.count("nan") == 3 and {"inf", "-inf"} & set(final)  # two rows without all sources, and 0 / 0

@@ -497,3 +497,21 @@ def test_builder_templates(spark):
     rows = rows_of(8, 80, 2, ["a.x", "c.x"])
     df = frame(spark, rows, ["ax", "cx"]).withColumnsRenamed({"ax": "a.x", "cx": "c.x"})
     agree(compile_graph(graph, ["gap"]).run(df, key=["key"]).collect(), simulated(graph, rows, ["a.x", "c.x"], ["gap"]), ["gap"])
+
+
+def test_floating_point_division_agrees(spark):
+    """Means that divide by zeros of both signs, in every plan."""
+    b = GraphBuilder()
+    x, y = b.scalar_source("x"), b.scalar_source("y")
+    b.node("hm", "HARMONIC_MEAN", {"a": x, "b": y}, ieee=True), b.node("wa", "WEIGHTED_AVG", {"a": x, "b": y, "c": y, "d": x}, ieee="true")
+    graph, rows = b.build(), rows_of(11, 300, 4, ["x", "y"], levels=3)
+    for evaluation, plans in (("every_row", ["columns", "stretches", "engine"]), ("changed", ["columns", "flags", "stretches", "engine"])):
+        expected = simulated(graph, rows, ["x", "y"], ["hm", "wa"], every=evaluation == "every_row")
+        assert {0.0, math.inf, -math.inf} <= {v for pair in expected.values() for v in pair}
+        assert strategies(graph, evaluation) == plans
+        for strategy in plans:
+            agree(compile_graph(graph, ["hm", "wa"], evaluation, strategy).run(frame(spark, rows, ["x", "y"]), key=["key"]).collect(), expected, ["hm", "wa"])
+    b = GraphBuilder()
+    b.node("hm", "HARMONIC_MEAN", {"a": b.scalar_source("x")}, ieee="perhaps")
+    with pytest.raises(ValueError):
+        b.build()
