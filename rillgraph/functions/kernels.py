@@ -11,10 +11,10 @@ import math
 from collections import deque
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import accumulate
 from operator import add
 
 import numpy as np
-import pandas as pd
 
 NAN = float("nan")
 LN2 = math.log(2.0)
@@ -284,9 +284,9 @@ class LogReturn(Kernel):
 
 
 def smoothed(x: np.ndarray, alpha: float, start: float | None) -> np.ndarray:
-    """s = alpha x + (1 - alpha) s, from ``start`` or else from the first value."""
-    given = x if start is None else np.concatenate([[start], x])
-    out = pd.Series(given).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    """s = alpha x + (1 - alpha) s, from ``start`` or else from the first value; the same bits as row by row."""
+    kept = 1 - alpha
+    out = np.fromiter(accumulate(x.tolist(), lambda s, v: alpha * v + kept * s, initial=start), float)
     return out if start is None else out[1:]
 
 

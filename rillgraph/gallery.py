@@ -44,6 +44,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Rounded as the SQL here rounds doubles: the scaled number, halves away from zero. Spark's own goes by the decimal text, and halves differ."""
+    power = F.lit(10.0**places)
+    made = F.round(c * power) / power
+    return F.when(F.abs(made) == float("inf"), c).otherwise(made)
+
+
 def six(c: Column) -> Column:
     """Rounded, NaN as null."""
     return F.round(F.when(~F.isnan(c), c), 6)
@@ -470,8 +477,9 @@ def stress_rows(spark, d):
 
 def stress_shown(made: DataFrame) -> DataFrame:
     """Null before all sources are there; NaN after that is of 0 / 0 and stays."""
-    final = F.round(F.when(~F.isnan("smooth"), F.col("final")), 3) + 0.0
-    return made.select("event_id", six(F.col("smooth")).alias("smooth"), six(F.col("trend")).alias("trend"), final.alias("final"))
+    six_places = lambda n: rounded(F.when(~F.isnan(n), F.col(n)), 6).alias(n)
+    final = rounded(F.when(~F.isnan("smooth"), F.col("final")), 3) + 0.0
+    return made.select("event_id", six_places("smooth"), six_places("trend"), final.alias("final"))
 
 
 @query(

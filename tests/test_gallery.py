@@ -79,3 +79,15 @@ def test_incremental_stress_graph_at_zeros_equals_sql(spark, tmp_path):
     folder, con = written(spark, tmp_path, zeros_of_the_stress_graph())
     final = list(agrees(spark, folder, con, "stress_incremental")["final"])
     assert final.count("nan") == 3 and {"inf", "-inf"} & set(final)  # two rows without all sources, and 0 / 0
+
+
+def test_stress_template_at_zeros_equals_sql(spark, tmp_path):
+    folder, con = written(spark, tmp_path, zeros_of_the_stress_graph())
+    agrees(spark, folder, con, "stress_template")
+
+
+def test_stress_template_at_halves_equals_sql(spark, tmp_path):
+    """The seventh row's average is 66.8405895, whose last place SQL rounds down."""
+    values = [("click", 112.48), ("purchase", 31.3), ("view", 27.46), ("error", 1.0), ("purchase", 192.05), ("view", 4.7), ("error", 1.0), ("purchase", 49.13), ("click", 96.83)]
+    folder, con = written(spark, tmp_path, values)
+    assert "66.840589" in list(agrees(spark, folder, con, "stress_template")["smooth"])

@@ -515,3 +515,12 @@ def test_floating_point_division_agrees(spark):
     b.node("hm", "HARMONIC_MEAN", {"a": b.scalar_source("x")}, ieee="perhaps")
     with pytest.raises(ValueError):
         b.build()
+
+
+def test_smoothing_by_arrays_is_by_rows_to_the_bit():
+    r = random.Random(4)
+    for _ in range(200):
+        x = [v for _ in range(6) for v in [r.randrange(30000) / 100 / 3] * r.randrange(1, 4)]
+        for make in (lambda: K.Ewma(0.1), lambda: K.Ewma(0.3), lambda: K.Macd(12, 26)):
+            rows, arrays = make(), make()
+            assert [rows.value(v) for v in x] == [*arrays.values(np.array(x[:4])), *arrays.values(np.array(x[4:]))]
